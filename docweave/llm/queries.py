@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules
+from . import exact_dedup, mixing, ngram_join, packing, quality_rules
 from .common import read
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_components(read(spark, folder, "documents"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
