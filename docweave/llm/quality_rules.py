@@ -143,4 +143,5 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     order = ordered(rules, estimates(docs, rules, sample_rows, text))
-    return with_features(docs, text).where(cascade(order)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a filter would be pushed below the features and compute them again for each use; a generator of one row or none stays above
+    return with_features(docs, text).withColumn("_kept", F.explode(F.when(cascade(order), F.array(F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
