@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_rules
+from . import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality_rules
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read(spark, folder, "documents"), tokenizer_file()).drop("ids", "source")
 
 
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.surrogates(read(spark, folder, "documents"), key="docweave").select("doc_id", "n_entities", "text")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(read(spark, folder, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -37,5 +41,9 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(read(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
