@@ -37,8 +37,10 @@ OFTEN = 64
 #: Documents of up to this many shingles index pairs of frequent tokens; longer ones, and those that may match a longer one, index them singly.
 SHORT = 400
 SKETCH = 256
-#: Lists up to this length give all their pairs; longer ones a spanning forest.
-LIST = 32
+#: Sets up to this size are told apart by a sketch of SKETCH bits.
+TOLD = 800
+#: Lists up to this length give all their pairs; of longer ones, pairs of sets that the sketch tells apart give a spanning forest. Up to LONG_LIST, pairs with larger sets are given all, for a larger sketch to settle.
+LIST, LONG_LIST = 32, 512
 #: Documents of a verification unit's chunk.
 CHUNK = 512
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("s", "<u8", SKETCH // 64)])
@@ -130,25 +132,45 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent:
     return np.concatenate(keys)
 
 
-def spanning(ids: np.ndarray, n: np.ndarray, s: np.ndarray, percent: int, all_pairs: bool) -> list[tuple[int, int]]:
-    """Pairs of one list, sorted by n, that length and sketch allow: all of them, or a forest that connects the same documents."""
-    out: list[tuple[int, int]] = []
-    root = np.arange(len(ids))
-    for i in range(1, len(ids)):
+def spanning(n: np.ndarray, s: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+    """(i, j, forest): pairs of one list, sorted by n, that length and sketch allow. Pairs left out are connected by forest pairs."""
+    out: list[tuple[int, int, int]] = []
+    root = np.arange(len(n))
+    m = len(n)
+    for i in range(1, m):
         lo = int(np.searchsorted(n[:i], overlap(int(n[i]), percent)))
         apart = np.bitwise_count(s[lo:i] ^ s[i]).sum(1, dtype=np.int64)
         near = lo + np.flatnonzero(apart <= difference(n[lo:i].astype(np.int64) + int(n[i]), percent))
-        if all_pairs:
-            out.extend((j, i) for j in near.tolist())
+        if m <= LIST or m <= LONG_LIST and n[i] > TOLD:
+            out.extend((j, i, 0) for j in near.tolist())
         elif len(near):
             roots, first = np.unique(root[near], return_index=True)
-            out.extend((j, i) for j in near[first].tolist())
+            out.extend((j, i, 1) for j in near[first].tolist())
             root[np.isin(root, roots)] = roots[0]
             root[i] = roots[0]
     return out
 
 
-def list_edges(payloads: list[bytes], percent: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    """A sketch as one of fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, bits // 64), axis=0)
+
+
+def bits_for(n: int) -> int:
+    return max(SKETCH, 1 << max(0, n - 1).bit_length())
+
+
+def told_apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, na, sa, nb, sb) those that the smaller of their sketches allows."""
+    for batch in batches:
+        keep = []
+        for na, sa, nb, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True):
+            bits = 8 * min(len(sa), len(sb))
+            keep.append(int(np.bitwise_count(folded(sa, bits) ^ folded(sb, bits)).sum()) <= (na + nb) * (100 - percent) // (100 + percent))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def list_edges(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, forest) of all lists in a bucket."""
     rows = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
     rows = rows[np.lexsort((rows["id"], rows["n"], rows["key"]))]
@@ -163,10 +185,10 @@ def list_edges(payloads: list[bytes], percent: int, longest: int) -> tuple[np.nd
         out.append(np.stack((x["id"][near], y["id"][near], np.zeros(int(near.sum()), np.int64)), 1))
     for lo, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         one = rows[lo:lo + m]
-        pairs = spanning(one["id"], one["n"], one["s"], percent, m <= longest)
+        pairs = spanning(one["n"], one["s"], percent)
         if pairs:
             at = np.array(pairs)
-            out.append(np.stack((one["id"][at[:, 0]], one["id"][at[:, 1]], np.full(len(at), int(m > longest), np.int64)), 1))
+            out.append(np.stack((one["id"][at[:, 0]], one["id"][at[:, 1]], at[:, 2]), 1))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     edges = np.concatenate(out)
@@ -236,7 +258,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
             found = [index_keys(s, frequent, order, percent, SHORT) for s in sets]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array([k.tobytes() for k in found], pa.binary()),
-                "sketch": pa.array([r.tobytes() for r in sketches(sets, SKETCH)], pa.binary())})
+                "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in sets], pa.binary())})
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, 2048):
@@ -248,7 +270,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
             out["key"] = np.concatenate(found)
             out["id"] = np.repeat(b.column(0).to_numpy(), each)
             out["n"] = np.repeat(b.column(1).to_numpy(), each)
-            out["s"] = np.repeat(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1), each, axis=0)
+            out["s"] = np.repeat(np.stack([folded(x, SKETCH) for x in b.column(3).to_pylist()]), each, axis=0)
             bucket = (out["key"] >> np.uint64(20)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
             out, bucket = out[by], bucket[by]
@@ -260,14 +282,18 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
         payloads: list[bytes] = []
         for b in batches:
             payloads += b.column("payload").to_pylist()
-        a, b, forest = list_edges(payloads, percent, LIST)
+        a, b, forest = list_edges(payloads, percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "forest": pa.array(forest)})
 
     indexed = docs.mapInArrow(keys, "doc_id long, size long, keys binary, sketch binary")
     indexed = indexed.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    indexed = stored(indexed, "index")
     packed = indexed.mapInArrow(entries, "bucket long, payload binary")
     candidates = stored(packed.groupBy("bucket").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
-    near = stored(components(candidates.select("a", "b")), "near")
+    sketch = lambda x: indexed.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    open_pairs = candidates.where("forest = 0").select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b")
+    settled = open_pairs.mapInArrow(lambda it: told_apart(it, percent), "a long, b long")
+    near = stored(components(candidates.where("forest = 1").select("a", "b").unionByName(settled)), "near")
 
     # units of at most two chunks each, so that a component of any size is spread
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
