@@ -31,7 +31,7 @@ WINDOW_SEQUENCES = 32
 #: Queues at most; more sources than that share queues by hash.
 QUEUES = 4096
 #: Words that a Python worker remembers the ids of.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: ASCII marks that end words; one run of them is one pre-token.
 MARKS = ".,!?;:%$&*#|"
 
