@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality_rules
+from . import exact_dedup, html_extract, langid, mixing, ngram_join, packing, pii, quality_rules, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_components(read(spark, folder, "documents"))
 
 
+def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(read(spark, folder, "documents"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
