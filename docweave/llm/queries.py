@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from . import exact_dedup, html_extract, langid, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, toxicity
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_components(read(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, folder, "documents")).drop("spans", "kept")
+
+
 def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(read(spark, folder, "documents"))
 
