@@ -31,9 +31,9 @@ from .shingles import ODD, mixed, shingle_sets, sketches
 WORDS = 4
 PERCENT = 85
 #: Frequent tokens that are told apart; all others are rare.
-FREQUENT = 1 << 16
-#: A token counts as frequent from so many documents on.
-OFTEN = 64
+FREQUENT = 1 << 18
+#: A token counts as frequent from so many documents on, and is named by a task from SOME on.
+OFTEN, SOME = 32, 3
 #: Documents of up to this many shingles index pairs of frequent tokens; longer ones, and those that may match a longer one, index them singly.
 SHORT = 400
 SKETCH = 256
@@ -41,6 +41,8 @@ SKETCH = 256
 TOLD = 800
 #: Lists up to this length give all their pairs; of longer ones, pairs of sets that the sketch tells apart give a spanning forest. Up to LONG_LIST, pairs with larger sets are given all, for a larger sketch to settle.
 LIST, LONG_LIST = 32, 512
+#: Size of the Bloom filters of document ids.
+BLOOM_BITS = 1 << 23
 #: Documents of a verification unit's chunk.
 CHUNK = 512
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("s", "<u8", SKETCH // 64)])
@@ -66,11 +68,44 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa
             yield b.slice(lo, rows)
 
 
-def profiles(docs: DataFrame, words: int, keep: int) -> DataFrame:
-    """doc_id, n, digest of the set for each document; token, n for tokens that a task has met often."""
+def profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, digest of the set for each document."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, tokens, counts, total = set(), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for b in in_slices(batches):
+            sets = shingle_sets(texts_of(b, 1), words)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary())})
+
+    return docs.mapInArrow(profile, "doc_id long, n long, digest binary")
+
+
+def probed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the places that a Bloom filter has for doc_id."""
+    return docs.select("doc_id", "text", *[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"h{k}") for k in range(3)])
+
+
+def among(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``probed`` that the filter holds."""
+    for b in in_slices(batches):
+        hit = np.ones(b.num_rows, bool)
+        for h in b.columns[2:]:
+            at = h.to_numpy()
+            hit &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        b = b.filter(pa.array(hit))
+        if b.num_rows:
+            yield b
+
+
+def frequent_tokens(docs: DataFrame, reps: DataFrame, words: int, keep: int, often: int) -> np.ndarray:
+    """At most ``keep`` tokens that many documents of different sets hold, the rarest first: Misra-Gries in every task, then sums.
+
+    Which tokens are found has no effect on the links, only on the lists' lengths.
+    """
+    bloom = docs.sparkSession.sparkContext.broadcast(present(reps.select(F.col("rep").alias("id"))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         held: list[np.ndarray] = []
 
         def settle() -> None:
@@ -79,33 +114,23 @@ def profiles(docs: DataFrame, words: int, keep: int) -> DataFrame:
             held = []
             tokens, at = np.unique(np.concatenate((tokens, new)), return_inverse=True)
             counts = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
-            if len(counts) > keep:  # Misra-Gries: less the first count that has no place
-                counts = counts - np.partition(counts, -keep - 1)[-keep - 1]
+            if len(counts) > 8 * keep:  # less the first count that has no place
+                counts = counts - np.partition(counts, -8 * keep - 1)[-8 * keep - 1]
                 tokens, counts = tokens[counts > 0], counts[counts > 0]
 
-        for b in in_slices(batches):
+        for b in among(batches, bloom.value):
             sets = shingle_sets(texts_of(b, 1), words)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            for s, d in zip(sets, digests, strict=True):
-                if d and d not in seen:
-                    held.append(s)
-                    total += len(s)
-                    if len(seen) < 1 << 20:
-                        seen.add(d)
+            held += sets
+            total += sum(map(len, sets))
             if sum(map(len, held)) > 1 << 20:
                 settle()
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()), "token": pa.nulls(len(sets), pa.int64())})
         if held:
             settle()
-        often = counts >= max(2, total // keep)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(int(often.sum()), pa.int64()), "n": pa.array(counts[often]), "digest": pa.nulls(int(often.sum()), pa.binary()), "token": pa.array(tokens[often].view(np.int64))})
-
-    return docs.mapInArrow(profile, "doc_id long, n long, digest binary, token long")
+        some = counts >= max(SOME, total // (8 * keep))
+        yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[some].view(np.int64)), "n": pa.array(counts[some])})
 
-
-def frequent_tokens(found: DataFrame, keep: int, often: int) -> np.ndarray:
-    """At most ``keep`` tokens, the rarest first."""
-    rows = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "token").limit(keep).toPandas()
+    found = probed(docs).mapInArrow(count, "token long, n long")
+    rows = found.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "token").limit(keep).toPandas()
     return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
@@ -223,7 +248,7 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     return [(least[r], d) for r, d in zip(root.tolist(), ids.tolist(), strict=True) if least[r] != d]
 
 
-def present(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
+def present(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     """A Bloom filter of ``ids`` (column id), of fixed size."""
     at = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(3)]))
     words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
@@ -242,10 +267,9 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    found = stored(profiles(docs, words, FREQUENT), "profiles")
-    rows = found.where("token is null").select("doc_id", "n", "digest")
+    rows = stored(profiles(docs, words), "profiles")
     reps = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
-    frequent = frequent_tokens(found, FREQUENT, OFTEN)
+    frequent = frequent_tokens(docs, reps, words, FREQUENT, OFTEN)
     at = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[at], at))
     weight = reps.agg(F.sum("n")).first()[0] or 0
@@ -303,15 +327,8 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
     bloom = spark.sparkContext.broadcast(present(near.select("id")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = bloom.value
-        for b in in_slices(batches):
-            hit = np.ones(b.num_rows, bool)
-            for h in b.columns[2:]:
-                at = h.to_numpy()
-                hit &= (filter_[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            b = b.filter(pa.array(hit))
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "members": pa.array([s.tobytes() for s in shingle_sets(texts_of(b, 1), words)], pa.binary())})
+        for b in among(batches, bloom.value):
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "members": pa.array([s.tobytes() for s in shingle_sets(texts_of(b, 1), words)], pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets = [], []
@@ -321,8 +338,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
         links = verified(np.array(ids, np.int64), sets, percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    probes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 23)) for k in range(3)]
-    members = docs.select("doc_id", "text", *[p.alias(f"h{k}") for k, p in enumerate(probes)]).mapInArrow(sets_of, "doc_id long, members binary").dropDuplicates(["doc_id"])
+    members = probed(docs).mapInArrow(sets_of, "doc_id long, members binary").dropDuplicates(["doc_id"])
     full = units.join(members, units["id"] == members["doc_id"]).select("component", "i", "j", "id", "members")
     links = full.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
     linked = stored(components(links), "linked")
