@@ -7,7 +7,7 @@ key by itself, or both are frequent, and the pair of them is a key; so no list
 of the index is as long as a frequent token is common, unless two frequent
 tokens meet in the prefixes of as many documents.
 
-Documents of equal sets are one from the start. Lists are pruned by length and
+Documents of equal sets are one node from the start, named by a 64-bit digest. Lists are pruned by length and
 by parity sketches, which never undercount a difference, and give edges that
 keep every true link connected. The components of these edges are then verified
 with whole sets, in units of bounded size, and the verified links give the
@@ -58,6 +58,11 @@ def difference(total: np.ndarray, percent: int) -> np.ndarray:
     return total * (100 - percent) // (100 + percent)
 
 
+def digest_of(s: np.ndarray) -> int:
+    """The name of a set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
@@ -74,10 +79,10 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             sets = shingle_sets(texts_of(b, 1), words)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary())})
+            digests = [digest_of(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.int64())})
 
-    return docs.mapInArrow(profile, "doc_id long, n long, digest binary")
+    return docs.mapInArrow(profile, "doc_id long, n long, digest long")
 
 
 def probed(docs: DataFrame) -> DataFrame:
@@ -85,6 +90,17 @@ def probed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"h{k}") for k in range(3)])
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each member, in order."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def among(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of ``probed`` that the filter holds."""
     for b in in_slices(batches):
@@ -199,6 +215,7 @@ def list_edges(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndar
     """(a, b, forest) of all lists in a bucket."""
     rows = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
     rows = rows[np.lexsort((rows["id"], rows["n"], rows["key"]))]
+    rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])))]  # copies in other tasks
     new = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(rows)))
@@ -223,7 +240,7 @@ def list_edges(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def verified(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(smallest, other) for the documents of a unit that true links connect."""
+    """(smallest, other) for the sets of a unit that true links connect."""
     n = np.array([len(s) for s in sets], np.int64)
     by = np.lexsort((ids, n))
     ids, n, sets = ids[by], n[by], [sets[i] for i in by]
@@ -277,12 +294,19 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, order = shared.value
+        seen: set[int] = set()
         for b in in_slices(batches):
-            sets = shingle_sets(texts_of(b, 1), words)
-            found = [index_keys(s, frequent, order, percent, SHORT) for s in sets]
+            new: dict[int, np.ndarray] = {}
+            for x in shingle_sets(texts_of(b, 1), words):
+                d = digest_of(x)
+                if len(x) and d not in seen:  # copies in one task give their keys once
+                    new[d] = x
+            if len(seen) < 1 << 20:
+                seen.update(new)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column(0), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array([k.tobytes() for k in found], pa.binary()),
-                "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in sets], pa.binary())})
+                "digest": pa.array(list(new), pa.int64()), "size": pa.array([len(x) for x in new.values()], pa.int64()),
+                "keys": pa.array([index_keys(x, frequent, order, percent, SHORT).tobytes() for x in new.values()], pa.binary()),
+                "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in new.values()], pa.binary())})
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, 2048):
@@ -309,12 +333,11 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
         a, b, forest = list_edges(payloads, percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "forest": pa.array(forest)})
 
-    indexed = docs.mapInArrow(keys, "doc_id long, size long, keys binary, sketch binary")
-    indexed = indexed.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    indexed = stored(indexed, "index")
-    packed = indexed.mapInArrow(entries, "bucket long, payload binary")
-    candidates = stored(packed.groupBy("bucket").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
-    sketch = lambda x: indexed.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    indexed = stored(docs.mapInArrow(keys, "digest long, size long, keys binary, sketch binary"), "index")
+    by_bucket = indexed.mapInArrow(entries, "bucket long, payload binary")
+    candidates = stored(by_bucket.groupBy("bucket").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
+    named = indexed.select("digest", "size", "sketch").dropDuplicates(["digest"])
+    sketch = lambda x: named.select(F.col("digest").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     open_pairs = candidates.where("forest = 0").select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b")
     settled = open_pairs.mapInArrow(lambda it: told_apart(it, percent), "a long, b long")
     near = stored(components(candidates.where("forest = 1").select("a", "b").unionByName(settled)), "near")
@@ -324,26 +347,31 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
     units = near.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = units.select("id", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    bloom = spark.sparkContext.broadcast(present(near.select("id")))
+    wanted = rows.join(near.select(F.col("id").alias("digest")), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    bloom = spark.sparkContext.broadcast(present(wanted.select("id")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in among(batches, bloom.value):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "members": pa.array([s.tobytes() for s in shingle_sets(texts_of(b, 1), words)], pa.binary())})
+            sets = shingle_sets(texts_of(b, 1), words)
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([digest_of(x) for x in sets], pa.int64()), "members": pa.array([packed(x) for x in sets], pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets = [], []
+        found: dict[int, bytes] = {}
         for b in batches:
-            ids += b.column("id").to_pylist()
-            sets += [np.frombuffer(m, np.uint64) for m in b.column("members").to_pylist()]
+            found |= dict(zip(b.column("id").to_pylist(), b.column("members").to_pylist(), strict=True))
+        ids, sets = list(found), [unpacked(m) for m in found.values()]
         links = verified(np.array(ids, np.int64), sets, percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    members = probed(docs).mapInArrow(sets_of, "doc_id long, members binary").dropDuplicates(["doc_id"])
-    full = units.join(members, units["id"] == members["doc_id"]).select("component", "i", "j", "id", "members")
+    members = probed(docs).mapInArrow(sets_of, "digest long, members binary")
+    full = units.join(members, units["id"] == members["digest"]).select("component", "i", "j", "id", "members")
     links = full.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
     linked = stored(components(links), "linked")
 
-    of = stored(reps.join(linked, reps["rep"] == linked["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "of")
+    # a component is called by the smallest document of all its sets
+    in_group = reps.join(linked, reps["digest"] == linked["id"], "left").select("digest", "rep", F.coalesce("component", "digest").alias("component"))
+    least = in_group.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = stored(in_group.join(least, "component").select("digest", "component_id"), "of")
     some = rows.where("n > 0").join(of, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
