@@ -28,8 +28,8 @@ LENGTH = 50
 K = 20
 #: Bits of the filter of shared anchors; more anchors than it can tell apart cost time, never results.
 FILTER_BITS = 1 << 27
-#: Bytes that a bucket or slice is meant to hold.
-BUCKET = 8 << 20
+#: Bytes of text whose anchors a bucket is meant to hold, and that a slice is meant to hold.
+BUCKET, SLICE = 4 << 20, 8 << 20
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], upto: int = 4 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -134,6 +134,15 @@ def prefix_table(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_hashes(rows: np.ndarray) -> np.ndarray:
+    """The last column of ``prefix_table``, without the others."""
+    up = powers(np.uint64(0x9E3779B97F4A7C15), rows.shape[1])
+    out = np.zeros(len(rows), np.uint64)
+    for i in range(rows.shape[1]):
+        out += (rows[:, i].astype(np.uint64) + np.uint64(1)) * up[i]
+    return out
+
+
 def extension(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many first bytes rows x and y have in common: a binary search over equal prefix hashes."""
     lo, hi = np.zeros(len(x), np.int64), np.full(len(x), table.shape[1] - 1)
@@ -218,7 +227,7 @@ def removed_strings(rows: np.ndarray, length: int) -> np.ndarray:
     rows = rows[np.lexsort((rows["doc"], rows["h"]))]
     group = np.cumsum(np.concatenate(([False], rows["h"][1:] != rows["h"][:-1])))
     # equal surroundings are one record, of the smallest document
-    key = mixed((prefix_table(rows["bytes"])[:, -1] + rows["first"].astype(np.uint64) * ODD[0] + rows["last"].astype(np.uint64) * ODD[1]) ^ rows["h"])
+    key = mixed((whole_hashes(rows["bytes"]) + rows["first"].astype(np.uint64) * ODD[0] + rows["last"].astype(np.uint64) * ODD[1]) ^ rows["h"])
     _, one, of = np.unique(key, return_index=True, return_inverse=True)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, of, rows["doc"])
@@ -286,7 +295,7 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     searched = docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * partitions(spark), size // BUCKET)
+    buckets, slices = max(partitions(spark), size // BUCKET), max(partitions(spark), size // SLICE)
     bits = max(64, FILTER_BITS // buckets // 64 * 64)
     reach = length - K
     layout = record(length)
@@ -342,8 +351,6 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
             out["bytes"] = np.where(used, data[np.clip(at, 0, len(data) - 1)], 0)
             yield by_bucket(bucket, out)
 
-    slices = buckets
-
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.frombuffer(p, layout) for b in batches for p in b.column("payload").to_pylist()]
         gone = removed_strings(np.concatenate(found), length)
