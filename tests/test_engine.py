@@ -240,3 +240,35 @@ def test_query_against_sql(spark, folder, name):
 
 def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
+
+
+def test_build_histories(spark, tmp_path):
+    from docweave.plans.reconcile import differences
+    from docweave.plans.report import middle_id, report, sample, stats, translated
+    from docweave.plans.stores import Flat, Nested, Raw
+    from docweave.sources import tables as on_disk
+    from docweave.sources.generate import BUILDS, BUILDS_CONFIG, builds
+
+    text = builds(spark, 40, seed=3).cache()
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, builds(spark, 40, seed=3).repartition(3).collect()))
+    c = corpus.from_rows(text)
+    layout = laid_out(infer(c, BUILDS_CONFIG))
+    assert [(f.name, f.type, f.nullable) for f in layout.by_name()["step"].fields] == [("id", "int", False), ("job_id", "int", False), ("idx", "int", False), ("error", "str", True), ("ms", "int", False), ("name", "str", False), ("rate", "float", False)]
+    assert [f.name for f in layout.by_name()["repo"].fields] == ["id", "name", "org", "private"] and layout.by_name()["repo"].fields[0].type == "uuid"
+    tables = shredded(c, layout)
+    on_disk.written(tables, layout, str(tmp_path / "t"))
+    back = on_disk.opened(spark, str(tmp_path / "t"))
+    assert not back["step"].schema["ms"].nullable and back["step"].schema["error"].nullable
+    verified(back, layout)
+    stores = {"raw": Raw(text, BUILDS), "nested": Nested(text.select(F.from_json("value", BUILDS.record()).alias("d")), BUILDS), "flat": Flat(back, BUILDS)}
+    some = middle_id(back["repo"])
+    asked = {"document": lambda s: s.document(some), "scan": lambda s: s.scan(30_000), "computed": lambda s: s.computed(30_000), "by_name": lambda s: s.by_name(), "three_hop": lambda s: s.three_hop("hooli")}
+    assert disagreements(stores, asked) == [] and differences(stores["nested"], stores["flat"]) == {}
+    assert {r["table_name"]: r["n"] for r in stats(back).collect()}["repo"] == 40
+    said = report(c, BUILDS_CONFIG)
+    assert said["ok"] and said["documents"] == 40 and "create table" in said["ddl"]
+    assert len(sample(c, BUILDS_CONFIG)["tables"]["repo"]) == 1
+    assert translated('{"a":[[1]]}', spark) == {"ok": False, "error": {"code": "nestedArray", "path": ".a[]", "message": "nestedArray: .a[]: an array directly inside an array"}}
+    on_disk.logged(spark, str(tmp_path / "log"), {"run": 1})
+    on_disk.logged(spark, str(tmp_path / "log"), {"run": 2})
+    assert on_disk.log(spark, str(tmp_path / "log")).count() == 2
