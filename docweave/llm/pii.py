@@ -30,23 +30,35 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we za zo", "cyrillic": "ба бе бо ва ве го да до жа за зо ка ко ла ле ло ма ме мо на не но па по ра ро са со та то"}
 
+
+
+def one_of(words: str) -> str:
+    """A pattern for any of some words, told apart by their first letters first."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words.split(), key=lambda w: (w[0], -len(w))):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
 NAME = r"\p{Lu}[\p{L}'’-]+"
-LEXICON = "|".join(n for (_, g), names in GIVEN.items() if g != "n" for n in names.split())
+TITLE = one_of(" ".join(TITLES.values()))
+LEXICON = one_of(" ".join(names for (_, g), names in GIVEN.items() if g != "n"))
+#: Every pattern starts where a word or number starts, or with a sign; ANY looks for that once.
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_=~.-]{8,}",
-    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "secret": r"(?=[tspaTSPA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_=~.-]{8,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\d|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d[A-Z ]{0,9})",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b",
-    "person": rf"\b(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\.? {NAME}(?: {NAME})?|(?:{LEXICON}) {NAME})",
+    "ipv4": r"(?=\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\d|\.\d)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])(?<=\d[A-Z ]{0,9})",
+    "phone": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?=[(\d])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d)",
+    "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?=\d)(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
+    "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
+    "person": rf"(?=\p{{Lu}})(?:{TITLE}\.? {NAME}(?: {NAME})?|{LEXICON} {NAME})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has: a digit, an @, or a title or given name. Cheap to look for.
-HINT = rf"[0-9@=]|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\b|\b(?:{LEXICON})\b"
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What every entity has: a digit, an @ or =, or a title or given name. Cheap to look for.
+HINT = rf"[0-9@=]|(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLE}|{LEXICON})(?!\p{{L}})"
 
 
 def kind_of(m: Column) -> Column:
@@ -58,9 +70,8 @@ def kind_of(m: Column) -> Column:
 
 def value_of(m: Column, kind: Column) -> Column:
     """The part of a match that is replaced: a secret's value, a name without its title, a phone number without its country code."""
-    titles = "|".join(t for ts in TITLES.values() for t in ts.split())
     return (F.when(kind == "secret", F.regexp_extract(m, r"[=:]\s*[\"']?([^\"']*)$", 1))
-            .when(kind == "person", F.regexp_replace(m, rf"^(?:{titles})\.? ", ""))
+            .when(kind == "person", F.regexp_replace(m, rf"^{TITLE}\.? ", ""))
             .when((kind == "phone") & m.startswith("+"), F.regexp_extract(m, r"^\+\d{1,3}?(?:[ .(-]+|(?=\d))(.*)$", 1)).otherwise(m))
 
 
