@@ -118,7 +118,8 @@ def name_of(value: Column, m: Column, stream: Column, tries: Column) -> Column:
         gender = F.when(m.rlike(rf"^(?:{'|'.join(TITLES[g].split())})\.? "), g).otherwise(gender)
     out = None
     for script in SYLLABLES:
-        given = reduce(lambda c, g: c.when(gender == g, pick(words(GIVEN[script, g]), 0)), ("m", "f"), F.when(gender == "n", pick(words(GIVEN[script, "n"]), 0)))
+        other = lambda g: pick(F.array_remove(words(GIVEN[script, g]), first), 0)  # noqa: E731  never the same name
+        given = reduce(lambda c, g: c.when(gender == g, other(g)), ("m", "f"), F.when(gender == "n", other("n")))
         family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + tries), lambda i: F.element_at(words(SYLLABLES[script]), byte(stream, i + 2) % F.size(words(SYLLABLES[script])) + 1)), ""))
         # as many names as before: one after a title is a family name
         name = F.when(value.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
