@@ -153,7 +153,7 @@ def frequent_tokens(docs: DataFrame, reps: DataFrame, words: int, keep: int, oft
 def index_keys(s: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, short: int) -> np.ndarray:
     """The keys of one set. frequent: sorted; order: the rank of each, by how rare it is."""
     n = len(s)
-    if n < 100 // (100 - percent):
+    if overlap(n, percent) == n == 100 * n // percent:
         return np.zeros(0, np.uint64)  # similar only to an equal set
     at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
     is_frequent = frequent[at] == s if len(frequent) else np.zeros(n, bool)

@@ -228,6 +228,12 @@ def test_near_copies(documents, monkeypatch, k, percent, limits):
     assert got == plain_components(rows, k, percent)
 
 
+def test_shortest_similar_sets(documents):
+    rows = [(1, "a b c d e f g h i"), (2, "a b c d e f g h"), (3, "x b c d e f g h i")]
+    got = ngram_join.near_components(documents(rows), words=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}  # 4 of 5, 3 of 6
+
+
 def test_one_of_each(documents):
     text = "one two three four five six seven eight nine ten"
     kept = ngram_join.one_of_each(documents([(3, text), (2, text), (5, None), (6, "")]))
