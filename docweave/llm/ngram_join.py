@@ -1,11 +1,13 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
 Tokens are hashed shingles in one global order, rare ones before frequent ones.
-Two sets as similar as asked share at least k tokens within prefixes that are
-extended by k - 1. With k = 2 either one of two shared tokens is rare, and is a
-key by itself, or both are frequent, and the pair of them is a key; so no list
-of the index is as long as a frequent token is common, unless two frequent
-tokens meet in the prefixes of as many documents.
+Two sets as similar as asked share at least g + 1 tokens within prefixes that are
+extended by g. Either one of these is rare, and is a key by itself, or all are
+frequent; then two of them are in one of g classes of tokens, and every two
+tokens of a class are a key. With g about the number of members that may differ,
+keys stay in proportion to the set, and no list of the index is as long as a
+frequent token is common, unless two of one class meet in the prefixes of as
+many documents.
 
 Documents of equal sets are one node from the start, named by a 64-bit digest. Lists are pruned by length and
 by parity sketches, which never undercount a difference, and give edges that
@@ -34,8 +36,6 @@ PERCENT = 85
 FREQUENT = 1 << 18
 #: A token counts as frequent from so many documents on, and is named by a task from SOME on.
 OFTEN, SOME = 32, 3
-#: Documents of up to this many shingles index pairs of frequent tokens; longer ones, and those that may match a longer one, index them singly.
-SHORT = 400
 SKETCH = 256
 #: Sets up to this size are told apart by a sketch of SKETCH bits.
 TOLD = 800
@@ -150,26 +150,53 @@ def frequent_tokens(docs: DataFrame, reps: DataFrame, words: int, keep: int, oft
     return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, short: int) -> np.ndarray:
-    """The keys of one set. frequent: sorted; order: the rank of each, by how rare it is."""
+def bands(n: int, percent: int) -> set[int]:
+    """Bands of sizes, by powers of two, that the larger of a similar pair with a set of n may be in."""
+    return {n.bit_length(), (100 * n // percent).bit_length()}
+
+
+def classes_in(band: int, percent: int) -> int:
+    """How many classes frequent tokens are dealt to for pairs of sets in a band: about as many as members may differ, fewer than must be shared."""
+    least = 1 << band >> 1
+    return min(max(1, least * (100 - percent) * 3 // 200), least * percent * percent // 10_000 - 1)
+
+
+def combinations(common: np.ndarray, classes: int, band: int) -> np.ndarray:
+    """A key for every two tokens of one class; ``common`` is in the global order."""
+    cls = mixed(common + ODD[1]) % np.uint64(classes)
+    by = np.argsort(cls, kind="stable")
+    tokens, cls = common[by], cls[by]
+    keys, apart = [np.zeros(0, np.uint64)], 1
+    while apart < len(tokens) and (same := cls[apart:] == cls[:-apart]).any():
+        keys.append(mixed(tokens[:-apart][same] * ODD[2] + tokens[apart:][same] * ODD[3] + np.uint64(band)))
+        apart += 1
+    return np.concatenate(keys)
+
+
+def index_keys(s: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of one set. frequent: sorted; order: the rank of each, by how rare it is.
+
+    Two similar sets share a rare token of their prefixes, or prefixes of both
+    reach into the frequent tokens. Then prefixes extended by g share g + 1
+    tokens: a rare one, or frequent ones only, two of which are in one of g classes.
+    """
     n = len(s)
     if overlap(n, percent) == n == 100 * n // percent:
         return np.zeros(0, np.uint64)  # similar only to an equal set
     at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
     is_frequent = frequent[at] == s if len(frequent) else np.zeros(n, bool)
-    prefix = n - overlap(n, percent) + 2
+    prefix = n - overlap(n, percent) + 1
     rare = s[~is_frequent][:prefix]
     left = prefix - len(rare)
     if left <= 0 or not is_frequent.any():
         return rare
     mine = at[is_frequent]
-    common = frequent[mine[np.argsort(order[mine])][:left]]
+    common = frequent[mine[np.argsort(order[mine])]]
     keys = [rare]
-    if 100 * n <= short * 10_000 / percent:
-        i, j = np.triu_indices(len(common), 1)
-        keys.append(mixed(common[i] * ODD[2] + common[j] * ODD[3]))
-    if 100 * n >= short * percent:
-        keys.append(common)
+    for band in bands(n, percent):
+        classes = classes_in(band, percent)
+        # sets that may share a single token have no two to combine
+        keys.append(combinations(common[:left + classes], classes, band) if classes > 0 else common[:left])
     return np.concatenate(keys)
 
 
@@ -305,7 +332,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
                 seen.update(new)
             yield pa.RecordBatch.from_pydict({
                 "digest": pa.array(list(new), pa.int64()), "size": pa.array([len(x) for x in new.values()], pa.int64()),
-                "keys": pa.array([index_keys(x, frequent, order, percent, SHORT).tobytes() for x in new.values()], pa.binary()),
+                "keys": pa.array([index_keys(x, frequent, order, percent).tobytes() for x in new.values()], pa.binary()),
                 "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in new.values()], pa.binary())})
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,7 +210,23 @@ def plain_components(rows, k, percent):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "limits"), [(4, 85, {}), (5, 80, {}), (4, 85, {"OFTEN": 3, "SOME": 1, "SHORT": 20, "LIST": 3, "LONG_LIST": 4, "TOLD": 25, "CHUNK": 4})])
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_similar_sets_share_a_key(percent):
+    rng, seen = np.random.default_rng(percent), 0
+    for n in [*range(2, 40), *range(40, 700, 7)] * 4:
+        tokens = rng.permutation(np.unique(rng.integers(0, 1 << 62, 3 * n).astype(np.uint64)))
+        gone, more = rng.integers(0, n * (100 - percent) // 100 + 2, 2).tolist()
+        if gone + more == 0 or 100 * (n - gone) < percent * (n + more):
+            continue
+        often = np.sort(tokens[rng.random(len(tokens)) < rng.choice([0, 0.5, 0.9, 1])])
+        order = rng.permutation(len(often))
+        x, y = np.sort(tokens[:n]), np.sort(np.concatenate((tokens[gone:n], tokens[n:n + more])))
+        assert len(np.intersect1d(*(ngram_join.index_keys(s, often, order, percent) for s in (x, y))))
+        seen += 1
+    assert seen > 100
+
+
+@pytest.mark.parametrize(("k", "percent", "limits"), [(4, 85, {}), (5, 80, {}), (4, 85, {"OFTEN": 3, "SOME": 1, "LIST": 3, "LONG_LIST": 4, "TOLD": 25, "CHUNK": 4})])
 def test_near_copies(documents, monkeypatch, k, percent, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ngram_join, name, value)
