@@ -9,8 +9,9 @@ keys stay in proportion to the set, and no list of the index is as long as a
 frequent token is common, unless two of one class meet in the prefixes of as
 many documents.
 
-Documents of equal sets are one node from the start, named by a 64-bit digest. Lists are pruned by length and
-by parity sketches, which never undercount a difference, and give edges that
+Documents of equal sets are one node from the start, named by a 64-bit digest. Most
+keys are one document's alone; a first pass over their names alone finds the
+others, and only those are listed. Lists are pruned by length and by parity sketches, which never undercount a difference, and give edges that
 keep every true link connected. The components of these edges are then verified
 with whole sets, in units of bounded size, and the verified links give the
 components that are returned.
@@ -41,6 +42,8 @@ SKETCH = 256
 TOLD = 800
 #: Lists up to this length give all their pairs; of longer ones, pairs of sets that the sketch tells apart give a spanning forest. Up to LONG_LIST, pairs with larger sets are given all, for a larger sketch to settle.
 LIST, LONG_LIST = 32, 512
+#: Bits of the filter of keys that stand in two places or more; more keys than it can tell apart cost shuffled bytes, never links.
+SHARED_BITS = 1 << 27
 #: Size of the Bloom filters of document ids.
 BLOOM_BITS = 1 << 23
 #: Documents of a verification unit's chunk.
@@ -200,6 +203,53 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent:
     return np.concatenate(keys)
 
 
+def in_buckets(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One payload a bucket: its rows, one after another."""
+    by = np.argsort(bucket, kind="stable")
+    at, first = np.unique(bucket[by], return_index=True)
+    rows, ends = rows[by], np.append(first[1:], len(by))
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int64)), "payload": pa.array([rows[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
+
+
+def places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment of the filter of shared keys, 32 bits that name the key in it)."""
+    h = mixed(keys + ODD[4])
+    return (h >> np.uint64(32)) % np.uint64(segments), h.astype(np.uint32)
+
+
+def shared_keys(indexed: DataFrame, segments: int) -> np.ndarray:
+    """A filter of SHARED_BITS in all, whatever the input, of the keys that two rows or more hold: one row of bytes a segment."""
+    bits = max(64, SHARED_BITS // segments // 64 * 64)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, 2048):
+            keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            if len(keys):
+                yield in_buckets(*places(keys, segments))
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, bucket = [], None
+        for b in batches:
+            bucket = b.column("bucket")[0].as_py()
+            found += [np.frombuffer(p, np.uint32) for p in b.column("payload").to_pylist()]
+        names = np.sort(np.concatenate(found))
+        out = np.zeros(bits, np.uint8)
+        out[names[1:][names[1:] == names[:-1]].astype(np.uint64) * np.uint64(bits) >> np.uint64(32)] = 1
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "segment": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((segments, bits // 8), np.uint8)
+    for r in indexed.select("keys").mapInArrow(named, "bucket long, payload binary").groupBy("bucket").applyInArrow(segment, "bucket long, segment binary").toLocalIterator():
+        out[r["bucket"]] = np.frombuffer(r["segment"], np.uint8)
+    return out
+
+
+def held(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys the filter of shared keys holds."""
+    at, name = places(keys, len(known))
+    bit = name.astype(np.uint64) * np.uint64(8 * known.shape[1]) >> np.uint64(32)
+    return known[at, bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def spanning(n: np.ndarray, s: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
     """(i, j, forest): pairs of one list, sorted by n, that length and sketch allow. Pairs left out are connected by forest pairs."""
     out: list[tuple[int, int, int]] = []
@@ -336,22 +386,18 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
                 "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in new.values()], pa.binary())})
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = often.value
         for b in in_slices(batches, 2048):
             found = [np.frombuffer(k, np.uint64) for k in b.column(2).to_pylist()]
-            each = np.array([len(k) for k in found])
-            out = np.zeros(int(each.sum()), ENTRY)
-            if not len(out):
+            each, keys = np.array([len(k) for k in found]), np.concatenate(found)
+            hit = held(keys, known)
+            row = np.repeat(np.arange(len(each)), each)[hit]
+            if not len(row):
                 continue
-            out["key"] = np.concatenate(found)
-            out["id"] = np.repeat(b.column(0).to_numpy(), each)
-            out["n"] = np.repeat(b.column(1).to_numpy(), each)
-            out["s"] = np.repeat(np.stack([folded(x, SKETCH) for x in b.column(3).to_pylist()]), each, axis=0)
-            bucket = (out["key"] >> np.uint64(20)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            out, bucket = out[by], bucket[by]
-            at, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(out))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int64)), "payload": pa.array([out[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
+            out = np.zeros(len(row), ENTRY)
+            out["key"], out["id"], out["n"] = keys[hit], b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+            out["s"] = np.stack([folded(x, SKETCH) for x in b.column(3).to_pylist()])[row]
+            yield in_buckets((out["key"] >> np.uint64(20)) % np.uint64(buckets), out)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads: list[bytes] = []
@@ -361,6 +407,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
         yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "forest": pa.array(forest)})
 
     indexed = stored(docs.mapInArrow(keys, "digest long, size long, keys binary, sketch binary"), "index")
+    often = spark.sparkContext.broadcast(shared_keys(indexed, max(partitions(spark), weight * (100 - percent) // 100 * 4 >> 24)))
     by_bucket = indexed.mapInArrow(entries, "bucket long, payload binary")
     candidates = stored(by_bucket.groupBy("bucket").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
     named = indexed.select("digest", "size", "sketch").dropDuplicates(["digest"])
