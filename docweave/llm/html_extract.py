@@ -2,8 +2,10 @@
 
 Every node of a page's tree gets the density of its characters per tag, less
 what stands in links, and the sum of its children's densities. The node of the
-largest sum is the article, unless a wider node on its path to the body is as
-dense as the threshold that the path itself sets. Nodes that are never content
+largest sum holds the article. An <article> or <main> around it is taken as it
+is. Otherwise the length of its paragraphs sets a threshold of characters a tag
+outside links: parts of the node, and subtrees beside its path to the body, that
+fall below are left out, as are lists of links. Nodes that are never content
 (scripts, menus, forms, adverts, comments of readers ...) are left out first.
 """
 
@@ -35,6 +37,13 @@ SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIB
 #: Words in class, id or role that name what is not the article.
 OFF = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|comment-list|cookie|cookies|consent|disqus|discussion|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|alert|contentinfo|complementary|search|form)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text, that hold others, and that say nothing of what they hold.
+RUNNING = frozenset("p pre blockquote".split()) | HEADINGS
+HOLDERS = frozenset("html body div section center table tbody tr td".split())
+PLAIN = frozenset("div section center".split())
+#: A paragraph beside the article is text from this many characters on, or if it ends as a sentence does.
+LINE = 80
+SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)]*$")
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
@@ -170,7 +179,7 @@ def weigh(nodes: list[Node]) -> None:
                     node.linked += n
             elif not c.off:
                 node.chars += c.chars
-                node.tags += c.tags + 1
+                node.tags += c.tags + (c.tag != "br")  # which only parts lines
                 node.linked += c.linked
                 node.link_tags += c.link_tags + (c.tag == "a")
     body = nodes[0]
@@ -184,27 +193,110 @@ def weigh(nodes: list[Node]) -> None:
         node.total = sum(c.density for c in node.items if not isinstance(c, str)) or node.density
 
 
+def spread(node: Node) -> float:
+    """Characters outside links for each tag."""
+    return (node.chars - node.linked) / max(1, node.tags)
+
+
+def in_links(node: Node) -> bool:
+    return 2 * node.linked > node.chars
+
+
+def paragraph(node: Node) -> float:
+    """How long the blocks of a node are, as the mean over its characters outside links."""
+    total = squares = 0
+    for n in in_order(node):
+        if n.off or n.tag not in BLOCKS:
+            continue
+        own = n.chars - n.linked - sum(c.chars - c.linked for c in n.items if not isinstance(c, str) and not c.off and c.tag in BLOCKS)
+        total += own
+        squares += own * own
+    return squares / total if total else float(node.chars - node.linked)
+
+
+def cut(node: Node, least: float) -> None:
+    """Mark off what stands in a node of paragraphs and is not running text."""
+    kids = [c for c in node.items if not isinstance(c, str) and not c.off and c.chars and c.tag in BLOCKS]
+    loose = sum(len(c.strip()) for c in node.items if isinstance(c, str))
+    lines = loose + sum(c.chars - c.linked for c in kids if c.tag in PLAIN and is_bare(c))
+    dense = [i for i, c in enumerate(kids) if spread(c) >= least and not in_links(c)]
+    for i, c in enumerate(kids):
+        if spread(c) >= least:
+            continue
+        edge = not dense or not dense[0] < i < dense[-1]
+        if in_links(c):
+            c.off = edge or c.tag not in RUNNING
+        elif c.tag in PLAIN and dense:
+            # among <p>s a short <div> is none; among <div>s it may be a paragraph
+            c.off = edge and not (is_bare(c) and is_line(c)) if 2 * lines > node.chars - node.linked else edge or is_bare(c)
+
+
 def content(root: Node) -> Node | None:
+    """The node that holds the article; what is not of it is marked off."""
     nodes = in_order(root)
     weigh(nodes)
     seen = [n for n in nodes if not n.off and n.chars]
     if not seen:
         return None
     best = max(seen, key=lambda n: n.total)
-    # the least density on the path to the body is the threshold; the widest node on the path that has siblings' text and reaches it is taken
-    path, node = [], best
+    node = best
     while node is not None:
-        path.append(node)
-        node = node.parent
-    threshold = min(n.density for n in path)
-    for node in path:
         if node.tag in ("article", "main"):
             return node
-    out = best
-    for node in path[1:]:
-        if node.density >= threshold and node.chars - node.linked > out.chars - out.linked:
-            out = node
-    return out
+        node = node.parent
+    # a block or more: the sum of a paragraph's inline tags says nothing of the page
+    while best.parent is not None and best.tag not in HOLDERS:
+        best = best.parent
+    least = paragraph(best) / 3
+    cut(best, least)
+    whole, node = True, best
+    while node.parent is not None:
+        here = node.parent
+        others = [c for c in here.items if not isinstance(c, str) and c is not node and not c.off and c.chars]
+        rest = sum(c.chars - c.linked for c in others) / max(1, sum(c.tags + 1 for c in others))
+        if whole and others and rest >= least and not any(map(in_links, others)):
+            for c in others:  # as dense: the article goes on in them, but not in scraps
+                c.off = c.tag in PLAIN and spread(c) < least and is_bare(c) and not is_line(c)
+            node = here
+            continue
+        whole = whole and not others
+        beside(here, node, least)
+        node = here
+    return root
+
+
+def beside(here: Node, node: Node, least: float) -> None:
+    """Mark off what stands in ``here`` beside the article's ``node`` and is not of it; inline items in a row are judged as one."""
+    at, follows, i = here.items.index(node), False, len(here.items)
+    while i:
+        i -= 1
+        c = here.items[i]
+        if c is node:
+            follows = True
+        elif not isinstance(c, str) and c.tag in BLOCKS:
+            if not c.off and c.chars:
+                running = c.tag in RUNNING - HEADINGS and is_line(c)
+                title = c.tag in HEADINGS and (follows or c.tag == "h1" and i < at)
+                follows = not in_links(c) and (spread(c) >= least or running or title)
+                c.off = not follows
+        else:
+            end = i + 1
+            while i and here.items[i - 1] is not node and (isinstance(here.items[i - 1], str) or here.items[i - 1].tag not in BLOCKS):
+                i -= 1
+            run = Node("p", None, False, False)
+            run.items = here.items[i:end]
+            weigh([run])
+            if run.chars and (in_links(run) or not is_line(run)):
+                here.items[i:end] = [""] * (end - i)
+                follows = False
+
+
+def is_bare(node: Node) -> bool:
+    return not any(not isinstance(c, str) and c.tag in BLOCKS and c.chars for c in node.items)
+
+
+def is_line(node: Node) -> bool:
+    return node.chars >= LINE or SENTENCE.search(text_of(node)) is not None
 
 
 def text_of(node: Node) -> str:

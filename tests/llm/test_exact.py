@@ -373,6 +373,26 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+PARAGRAPHS = ["The council met on Tuesday to discuss the new bridge over the river and its cost to the town.", "Several members asked for a second report before any of the money is spent on building work.", "No.",
+              "The mayor said that the work could begin in spring if the second report was ready by winter, and that the bridge would be open within two years of that."]
+MENU = "<div>" + "".join(f'<div><a href="/{w}">{w}</a></div>' for w in ("Home", "World", "Sport", "Money", "Travel")) + "</div>"
+ADVERT = "<div>Buy cheap watches now</div>"
+COMMENTS = "<div><div><b>Ann</b><div>Nice piece, thanks</div></div><div><b>Bob</b><div>I do not agree.</div></div></div>"
+TEASERS = '<div><div><a href="/a">Ten things to know about cats</a><div>Cats are liked.</div></div><div><a href="/b">Storm ahead on the coast</a></div></div>'
+PS = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("article", [
+    f"<div><h1>Bridge</h1>{PS}</div>", f"<h1>Bridge</h1>{PS}", f"<h1>Bridge</h1><div>by Ann</div><div>{PS}</div>", f"<div><h1>Bridge</h1>{PS}{ADVERT}{COMMENTS}</div>",
+    "<div><h1>Bridge</h1>" + "".join(f"<div>{p}</div>" for p in PARAGRAPHS) + "</div>", "<div><h1>Bridge</h1>" + "<br><br>".join(PARAGRAPHS) + "</div>",
+    f"<div><h1>Bridge</h1><p>{PARAGRAPHS[0]}<p>{PARAGRAPHS[1]}</div>{ADVERT}<div><p>" + "<p>".join(PARAGRAPHS[2:]) + "</div>",
+])
+def test_density_chooses_without_telling_names(article):
+    want = " ".join(["Bridge", *PARAGRAPHS])
+    assert html_extract.main_text(f"<body>{MENU}{ADVERT}{article}{COMMENTS}{TEASERS}</body>") == want
+    assert html_extract.main_text(f"<body><div>{MENU}<div>{article}{COMMENTS}</div>{TEASERS}</div>") == want
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<p>a</p>" * 3000, "y")]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
