@@ -34,8 +34,14 @@ ENDS_P = BLOCKS - frozenset("body br caption html tbody td tfoot th thead tr leg
 SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
             "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select"), "head": ("", "")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
-#: Words in class, id or role that name what is not the article.
-OFF = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|comment-list|cookie|cookies|consent|disqus|discussion|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|alert|contentinfo|complementary|search|form)(?:$|[\s_-])", re.I)
+#: Of these, what may be wrapped around a whole page all the same.
+WRAPPERS = frozenset("label fieldset form nav footer header aside menu".split())
+NEVER = DROPPED - WRAPPERS
+#: A class, id or role that names what is not the article: the whole of it, its beginning, or after a word of place.
+OFF = re.compile(r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[_-]+)?(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|comment-list|cookie|cookies|consent|disqus|discussion|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|alert|contentinfo|complementary|search|form)(?:[_-].*)?", re.I)
+#: The same for what readers wrote, which may be longer than the article.
+READERS = re.compile(r"(?:comment|comments|disqus|discussion|replies|respond)(?:[_-].*)?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold running text, that hold others, and that say nothing of what they hold.
 RUNNING = frozenset("p pre blockquote".split()) | HEADINGS
@@ -45,33 +51,83 @@ PLAIN = frozenset("div section center".split())
 LINE = 80
 SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)]*$")
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "off", "link", "chars", "tags", "linked", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "off", "doubt", "readers", "link", "chars", "tags", "linked", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, off: bool, link: bool) -> None:
         self.tag, self.parent, self.off, self.link = tag, parent, off, link
         self.items: list = []
+        self.doubt = self.readers = False
         self.chars = self.tags = self.linked = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_off(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role"):
-            if tag not in ("body", "html", "article", "main") and OFF.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+def attributes_of(text: str) -> dict[str, str]:
+    """Names and values of a start tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or HIDDEN.search(given.get("style", "")) is not None
+
+
+def names(given: dict[str, str]) -> list[str]:
+    return [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word) for name in ("class", "id", "role") for word in given.get(name, "").split()]
+
+
+def judged(tag: str, text: str, node: Node) -> Node:
+    """``node`` with what its own tag and attributes say; settled() decides on what is doubtful."""
+    given = attributes_of(text) if text else {}
+    node.off = node.off or tag in NEVER or is_hidden(given)
+    if tag not in ("body", "html", "article", "main"):
+        words = names(given)
+        node.readers = any(map(READERS.fullmatch, words))
+        node.doubt = tag in WRAPPERS or node.readers or any(map(OFF.fullmatch, words))
+    return node
+
+
+def settled(nodes: list[Node]) -> None:
+    """Mark off what its tag or name says is not content, unless it holds the content.
+
+    It does if no <article> or <main> stands outside all such elements and it
+    holds one, or if it holds most of the characters outside links of the page
+    (of the <article> or <main> around it). Readers' comments may hold most.
+    """
+    words: dict[int, int] = {}
+    inside: set[int] = set()
+    for n in reversed(nodes):
+        if n.off:
+            continue
+        own = 0 if n.link else sum(len(c) - c.count(" ") - c.count("\n") for c in n.items if isinstance(c, str))
+        kids = [c for c in n.items if not isinstance(c, str) and not c.off]
+        words[id(n)] = own + sum(words[id(c)] for c in kids)
+        if any(c.tag in ("article", "main") or id(c) in inside for c in kids):
+            inside.add(id(n))
+    scope: dict[int, Node | None] = {}
+    under: set[int] = set()
+    free = False
+    for n in nodes:
+        up = n.parent
+        scope[id(n)] = None if up is None else up if up.tag in ("article", "main") else scope[id(up)]
+        if n.doubt or up is not None and id(up) in under:
+            under.add(id(n))
+        free = free or n.tag in ("article", "main") and not n.off and id(n) not in under
+    for n in nodes:
+        if n.parent is not None and n.parent.off:
+            n.off = True
+        if not n.doubt or n.off:
+            continue
+        within = scope[id(n)]
+        whole = words[id(within or nodes[0])]
+        most = 2 * words[id(n)] > whole and not (n.readers and words[id(n)] < whole)
+        n.off = not (most or id(n) in inside and not n.readers) if within is None and not free else within is None or not most
 
 
 def tree(page: str) -> Node:
@@ -110,7 +166,7 @@ def tree(page: str) -> Node:
         if tag == "body":
             continue
         here = closed(here, tag)
-        node = Node(tag, here, here.off or is_off(tag, m[3]), here.link or tag == "a")
+        node = judged(tag, m[3], Node(tag, here, here.off, here.link or tag == "a"))
         here.items.append(node)
         if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -234,6 +290,7 @@ def cut(node: Node, least: float) -> None:
 def content(root: Node) -> Node | None:
     """The node that holds the article; what is not of it is marked off."""
     nodes = in_order(root)
+    settled(nodes)
     weigh(nodes)
     seen = [n for n in nodes if not n.off and n.chars]
     if not seen:

@@ -393,6 +393,23 @@ def test_density_chooses_without_telling_names(article):
     assert html_extract.main_text(f"<body><div>{MENU}<div>{article}{COMMENTS}</div>{TEASERS}</div>") == want
 
 
+@pytest.mark.parametrize("page", [
+    f'<div class="content-sidebar-wrap"><main>{PS}</main></div>', f'<div class="page has-sidebar"><main>{PS}</main></div>', f'<div class="page has-sidebar">{PS}</div>',
+    f"<form id=aspnetForm>{MENU}<div>{PS}</div></form>", f"<form id=search><main>{PS}</main></form>", f'<article data-title="Hidden lake">{PS}</article>',
+    f'<div class="sidebar"><div>{PS}</div></div>', f"<main><form>{PS}</form></main>",
+    # what is not the article still goes
+    f'<article>{PS}</article><div class="site-footer">{PS}{PS}</div><aside><p>{PARAGRAPHS[0]}</p></aside>', f'<div>{PS}</div><div class="comments-area">{PS}{PS}</div>',
+    f'<article>{PS}<section class="comments"><article><p>{PARAGRAPHS[0]}</p></article></section></article>', f'<article>{PS}<p class=x hidden>no</p><p title="a" style="display:none">no</p></article>',
+])
+def test_names_do_not_lose_the_article(page):
+    assert html_extract.main_text(f"<body>{page}</body>") == " ".join(PARAGRAPHS)
+
+
+def test_attributes_are_read_by_name():
+    page = '<article><p>See the <a href="/hidden-falls">falls</a> and <a href="/x?id=nav">maps</a> and <a href=/y?class=menu>walks</a>.</p></article>'
+    assert html_extract.main_text(page) == "See the falls and maps and walks."
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<p>a</p>" * 3000, "y")]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
