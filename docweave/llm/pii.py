@@ -40,25 +40,30 @@ def one_of(words: str) -> str:
     return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
 
 
+SECRETS = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\s{0,3}[=:]"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 TITLE = one_of(" ".join(TITLES.values()))
 LEXICON = one_of(" ".join(names for (_, g), names in GIVEN.items() if g != "n"))
+#: Eight groups, or fewer around one ::, which may also stand first; one of the shortened has a digit, so that C++'s a::b is none.
+GROUP = "[0-9A-Fa-f]{1,4}"
+SHORT = "|".join(f"(?:{GROUP}:){{{n}}}(?::{GROUP}){{1,{7 - n}}}" for n in range(1, 7)) + f"|(?:{GROUP}:){{1,7}}:|::{GROUP}(?::{GROUP}){{0,6}}"
+IPV6 = rf"(?=[0-9A-Fa-f:])(?<![0-9A-Fa-f:])(?:(?:{GROUP}:){{7}}{GROUP}(?![0-9A-Fa-f:])|(?=[A-Fa-f:]*\d)(?:{SHORT})(?![\p{{L}}\p{{N}}:]|\.\d))"
 #: Every pattern starts where a word or number starts, or with a sign; ANY looks for that once.
 PATTERNS = {
-    "secret": r"(?=[tspaTSPA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_=~.-]{8,}",
+    "secret": rf"(?=[tspaTSPA]){SECRETS}\s{{0,3}}[\"']?[A-Za-z0-9+/_=~.-]{{8,}}",
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": IPV6,
     "ipv4": r"(?=\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\d|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])(?<=\d[A-Z ]{0,9})",
     "phone": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?=[(\d])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d)",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?=\d)(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
+    "card": r"(?=\d)(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])|(?=\d)(?<![.-])\d{4}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "person": rf"(?=\p{{Lu}})(?:{TITLE}\.? {NAME}(?: {NAME})?|{LEXICON} {NAME})",
 }
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: What every entity has: a digit, an @ or =, or a title or given name. Cheap to look for.
-HINT = rf"[0-9@=]|(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLE}|{LEXICON})(?!\p{{L}})"
+#: What every entity has: a digit or an @, the name of a secret, the start of a key, or a title or given name. Cheap to look for.
+HINT = rf"[0-9@]|(?=[tspaTSPA]){SECRETS}|AKIA|gh[pousr]_|sk-|(?:[A-Fa-f]{{1,4}}:){{7}}|[a-f]{{32}}|[A-F]{{32}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLE}|{LEXICON})(?!\p{{L}})"
 
 
 def kind_of(m: Column) -> Column:

@@ -347,6 +347,20 @@ def test_surrogates(documents):
     assert other != new and pii.surrogates(documents([]), "k").count() == 0
 
 
+def test_every_pattern_is_found_alone(documents):
+    alone = ["password: correcthorsebattery", "API-Key = correcthorsebattery", "ann.lee@mail.example", "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd", "2001:db8::1", "::1", "fe80::", "2001:db8:0:1::a:b", "10.2.3.4",
+             "DE89 3704 0044 0532 0130 00", "+1 974 555 3436", "(974) 555-3436", "123-45-6789", "4111 1111 1111 1111", "3782 822463 10005", "3782-822463-10005", "AKIA" + "ABCDEFGH" * 2,
+             "ghp_" + "abcdef" * 6, "sk-" + "abcde" * 4, "abcdefab" * 4, "ABCDEFAB" * 4, "Dr Wei Chen", "Mary Jones"]
+    for at, about in enumerate((lambda t: t, lambda t: f"so {t}, then")):
+        got = {r["doc_id"]: r for r in pii.surrogates(documents([(i, about(t)) for i, t in enumerate(alone)]), "k").collect()}
+        for i, t in enumerate(alone):
+            assert got[i]["n_entities"] == 1 and t not in got[i]["text"], (at, t, got[i])
+    clean = [(1, "at 12:30:45 a std::vector of a::b"), (2, "the password is: old"), (3, "The secret of the sea")]
+    assert all(r["n_entities"] == 0 for r in pii.surrogates(documents(clean), "k").collect())
+    new = pii.surrogates(documents([(1, "::ffff:10.2.3.4")]), "k").first()["text"]
+    assert "10.2.3.4" not in new and new.startswith("::ffff:")
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     from pyspark.sql import functions as F
 
