@@ -50,7 +50,7 @@ SHORT = "|".join(f"(?:{GROUP}:){{{n}}}(?::{GROUP}){{1,{7 - n}}}" for n in range(
 IPV6 = rf"(?=[0-9A-Fa-f:])(?<![0-9A-Fa-f:])(?:(?:{GROUP}:){{7}}{GROUP}(?![0-9A-Fa-f:])|(?=[A-Fa-f:]*\d)(?:{SHORT})(?![\p{{L}}\p{{N}}:]|\.\d))"
 #: Every pattern starts where a word or number starts, or with a sign; ANY looks for that once.
 PATTERNS = {
-    "secret": rf"(?=[tspaTSPA]){SECRETS}\s{{0,3}}[\"']?[A-Za-z0-9+/_=~.-]{{8,}}",
+    "secret": rf"(?=[tspaTSPA]){SECRETS}\s{{0,3}}[\"']?(?=[+/_=~.-]*[A-Za-z0-9])[A-Za-z0-9+/_=~.-]{{8,}}",
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ipv6": IPV6,
     "ipv4": r"(?=\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\d|\.\d)",
@@ -66,6 +66,10 @@ ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|(?=[tspaTSPA]){SECRETS}|AKIA|gh[pousr]_|sk-|(?:[A-Fa-f]{{1,4}}:){{7}}|[a-f]{{32}}|[A-F]{{32}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLE}|{LEXICON})(?!\p{{L}})"
 
 
+#: Tries in one form; random surrogates of a form that is not nearly full collide this often by no chance.
+ROUNDS = 8
+
+
 def kind_of(m: Column) -> Column:
     out = F.when(m.rlike(rf"^(?:{PATTERNS['secret']})$"), "secret").when(m.contains("@"), "email")
     for kind in ("ipv6", "ipv4", "iban", "phone", "ssn", "card", "key"):
@@ -136,7 +140,7 @@ def surrogate(m: Column, kind: Column, value: Column, tries: Column, key: str) -
     """The surrogate of one value; ``tries`` counts how often it was drawn again."""
     def drawn(stream: Column) -> Column:
         octet = lambda i: (byte(stream, F.lit(i)) % 254 + 1).cast("string")
-        plain = same_form(value, stream, value.rlike("^[0-9a-fA-F:]+$"))
+        plain = same_form(longer(value, kind, tries), stream, value.rlike("^[0-9a-fA-F:]+$"))
         # the last part of a mail address's domain stays, so that it is one
         mail = F.concat(F.regexp_replace(plain, r"\.[^.]*$", ""), F.regexp_extract(value, r"\.[^.]*$", 0))
         fixed = F.when(luhn(F.regexp_replace(value, r"\D", "")) == 0, checked(plain)).otherwise(plain)
@@ -147,6 +151,13 @@ def surrogate(m: Column, kind: Column, value: Column, tries: Column, key: str) -
     return let(F.sha2(F.concat_ws("\x00", F.lit(key), kind, canon_of(value, kind), tries.cast("string")), 256), drawn)
 
 
+def longer(value: Column, kind: Column, tries: Column) -> Column:
+    """The form to draw from: the value's own, and a longer one each ROUNDS tries, so that there is always one left."""
+    more = F.repeat(F.lit("0"), F.floor(tries / ROUNDS).cast("int"))
+    return (F.when(tries < ROUNDS, value).when(kind == "ipv6", F.concat(F.lit("0" + ":0000" * 7), more))
+            .when(kind == "email", F.concat(F.lit("a"), more, value)).otherwise(F.concat(value, more)))
+
+
 def checked(number: Column) -> Column:
     """``number`` with a last digit that makes it valid."""
     head = F.substring(number, F.lit(1), F.length(number) - 1)

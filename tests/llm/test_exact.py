@@ -373,6 +373,18 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(set(final)) == 8 and not set(final) & set(map(str, range(8)))
 
 
+def test_full_forms_are_left(spark, documents):
+    got = {r["doc_id"]: r for r in pii.surrogates(documents([(1, "Password: ________ and 5 more"), (2, "token = -------- or a=b"), (3, "token = -------7")]), "k").collect()}
+    assert [got[i]["n_entities"] for i in (1, 2, 3)] == [0, 0, 1] and "________" in got[1]["text"]
+    # all values of a form are taken
+    from pyspark.sql import functions as F
+
+    entities = spark.createDataFrame([("secret", f"-------{i}", f"token = -------{i}", f"-------{i}") for i in range(10)], "kind string, canon string, m string, value string")
+    again = pii.collisions(entities, "k")
+    new = [r["v"] for r in entities.join(again, ["kind", "canon"]).select(pii.surrogate(F.col("m"), F.col("kind"), F.col("value"), F.col("tries"), "k").alias("v")).collect()]
+    assert len(set(new)) == 10 and all(len(v) > 8 for v in new)
+
+
 # main text
 
 @pytest.mark.parametrize(("page", "text"), [
