@@ -114,17 +114,22 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), part), F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10
 
 
+def titled(m: Column) -> Column:
+    """What a mention's title says of gender: 2 and 1, or 0 for nothing."""
+    by = lambda g: m.rlike(rf"^(?:{'|'.join(TITLES[g].split())})\.? ")
+    return F.when(by("m"), 2).when(by("f"), 1).otherwise(0)
+
+
 def name_of(value: Column, m: Column, stream: Column, tries: Column) -> Column:
     """Another given name of the same gender and script, and a family name made of syllables."""
     words = lambda text: F.array(*[F.lit(w) for w in text.split()])
     pick = lambda items, i: F.element_at(items, F.pmod(byte(stream, F.lit(i)) * 256 + byte(stream, F.lit(i + 1)), F.size(items)) + 1)
-    first = F.regexp_extract(value, r"^\S+", 0)
+    first = F.initcap(F.regexp_extract(value, r"^\S+", 0))  # in any spelling
     gender = F.lit("n")
     for g in ("m", "f"):
         names = [n for (_, x), ns in GIVEN.items() if x == g for n in ns.split()]
         gender = F.when(first.isin(names), g).otherwise(gender)
-    for g in ("m", "f"):
-        gender = F.when(m.rlike(rf"^(?:{'|'.join(TITLES[g].split())})\.? "), g).otherwise(gender)
+    gender = F.when(titled(m) == 2, "m").when(titled(m) == 1, "f").otherwise(gender)
     out = None
     for script in SYLLABLES:
         other = lambda g: pick(F.array_remove(words(GIVEN[script, g]), first), 0)  # noqa: E731  never the same name
@@ -197,24 +202,27 @@ def surrogates(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc
     n_entities is replaced, other columns stay.
     """
     df = with_entities(docs, text)
-    found = df.select(F.explode("_found").alias("e")).select("e.*")
-    entities = stored(found.groupBy("kind", "canon").agg(F.min("m").alias("m"), F.min_by("value", "m").alias("value")), "entities")
-    again = collisions(entities, key)
+    found = df.select(F.explode("_found").alias("e")).select("e.*").withColumn("title", titled(F.col("m")))
+    # one mention, of the most telling title, stands for all: it settles the gender
+    telling = F.struct("title", "m")
+    entities = stored(found.groupBy("kind", "canon").agg(F.max_by("m", telling).alias("m"), F.max_by("value", telling).alias("value"), (F.min("title") < F.max("title")).alias("varied")), "entities")
+    again = collisions(entities.drop("varied"), key)
+    again = entities.join(again, ["kind", "canon"], "left").where(F.col("varied") | F.col("tries").isNotNull()).select("kind", "canon", F.struct(F.coalesce("tries", F.lit(0)).alias("tries"), F.col("m")).alias("drawn"))
     if again.limit(1).count():
-        # documents that mention an entity drawn again take its tries along
+        # documents that mention an entity drawn again, or with other titles elsewhere, take its tries and that mention along
         few = df.select(doc_id, F.explode("_found").alias("e")).join(again, (F.col("e.kind") == F.col("kind")) & (F.col("e.canon") == F.col("canon")))
-        few = few.groupBy(F.col(doc_id).alias("_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x00", F.col("e.kind"), F.col("e.canon")).alias("k"), F.col("tries")))).alias("_tries"))
+        few = few.groupBy(F.col(doc_id).alias("_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x00", F.col("e.kind"), F.col("e.canon")).alias("k"), F.col("drawn")))).alias("_drawn"))
         df = df.join(few, F.col(doc_id) == F.col("_d"), "left").drop("_d")
     else:
-        df = df.withColumn("_tries", F.lit(None).cast("map<string,int>"))
-    tries = lambda e: F.coalesce(F.col("_tries")[F.concat_ws("\x00", e["kind"], e["canon"])], F.lit(0))
+        df = df.withColumn("_drawn", F.lit(None).cast("map<string,struct<tries:int,m:string>>"))
 
     def replaced(e: Column) -> Column:
-        new = surrogate(e["m"], e["kind"], e["value"], tries(e), key)
+        drawn = F.col("_drawn")[F.concat_ws("\x00", e["kind"], e["canon"])]
+        new = surrogate(F.coalesce(drawn["m"], e["m"]), e["kind"], e["value"], F.coalesce(drawn["tries"], F.lit(0)), key)
         return F.concat(F.substring(e["m"], F.lit(1), F.length(e["m"]) - F.length(e["value"])), new)
 
     df = df.withColumn("_new", F.transform("_found", replaced))
     between = F.split(F.col("_text"), ANY, -1)
     out = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     df = df.withColumn("n_entities", F.size("_found").cast("long")).withColumn(text, F.when(F.size("_found") > 0, out).otherwise(F.col(text)))
-    return df.drop("_text", "_found", "_new", "_tries")
+    return df.drop("_text", "_found", "_new", "_drawn")

@@ -373,6 +373,14 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(set(final)) == 8 and not set(final) & set(map(str, range(8)))
 
 
+def test_one_surrogate_whatever_the_title(documents):
+    rows = [(1, "Mr Wei Chen met Dr Wei Chen."), (2, "Dr. Wei Chen"), (3, "Prof WEI CHEN"), (4, "Dr Ana Ruiz"), (5, "Ms. Ana Ruiz"), (6, "Dr Kim Lee")]
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(documents(rows), "k").collect()}
+    name = re.fullmatch(r"Mr (.+) met Dr (.+)\.", got[1])
+    assert name[1] == name[2] != "Wei Chen" and got[2] == f"Dr. {name[1]}" and got[3] == f"Prof {name[1].upper()}"
+    assert name[1].split()[0] in pii.GIVEN["latin", "m"].split() and got[4][3:] == got[5][4:] and got[4].split()[1] in pii.GIVEN["latin", "f"].split()
+
+
 def test_full_forms_are_left(spark, documents):
     got = {r["doc_id"]: r for r in pii.surrogates(documents([(1, "Password: ________ and 5 more"), (2, "token = -------- or a=b"), (3, "token = -------7")]), "k").collect()}
     assert [got[i]["n_entities"] for i in (1, 2, 3)] == [0, 0, 1] and "________" in got[1]["text"]
