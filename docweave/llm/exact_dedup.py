@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import column, small, stored, text_of, unused
 
 COUNTERS = 1024
 
@@ -48,29 +48,49 @@ def heavy_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return digests.sparkSession.createDataFrame(kept, "digest string")
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max", normalise: Column | None = None, counters: int = COUNTERS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def digest_of(text: str, normalise: Column | None) -> Column:
+    """SHA-256 of a text as UTF-8; null counts as empty."""
+    return F.sha2((text_of(text) if normalise is None else F.coalesce(normalise, F.lit(""))).cast("binary"), 256)
 
-    Null text is empty text. The row with the largest (or, by ``keep``, smallest)
-    id of a group stays; of repeated rows with that same id all are ``kept``. A
-    null id never wins over another; a group of null ids only has keep_id null
-    and keeps its rows. Other columns are ignored; an empty table gives no rows.
-    """
+
+def settled(docs: DataFrame, text: str, doc_id: str, keep: str, normalise: Column | None, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digests, winners, rest): all rows by digest; keep_id and group_size of the heavy digests, no more than ``counters`` rows; and of every row of the others."""
     best = {"max": F.max, "min": F.min}[keep]
-    body = text_of(text) if normalise is None else F.coalesce(normalise, F.lit(""))
-    digests = stored(docs.select(F.col(doc_id).alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("digest")), "digests")
+    digests = stored(docs.select(column(doc_id).alias("doc_id"), digest_of(text, normalise).alias("digest")), "digests")
     heavy = F.broadcast(heavy_digests(digests, counters))
     winners = digests.join(heavy, "digest", "left_semi").groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # the verified winners: one row for each heavy digest, so no more than counters
-    hot = digests.join(F.broadcast(winners), "digest")
     group = Window.partitionBy("digest")
     rest = digests.join(heavy, "digest", "left_anti").select("digest", "doc_id", best("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
+    return digests, winners, rest
+
+
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max", normalise: Column | None = None, counters: int = COUNTERS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null text is empty text; texts of any length are read whole, by their digest.
+    The row with the largest (or, by ``keep``, smallest) id of a group stays; a
+    tie is rows that repeat that id, and all of these are ``kept``. A null id
+    never wins over another; a group of null ids only has keep_id null and keeps
+    its rows. Other columns, whatever their names, are ignored; an empty table
+    gives no rows.
+    """
+    digests, winners, rest = settled(docs, text, doc_id, keep, normalise, counters)
+    hot = digests.join(F.broadcast(winners), "digest")
     return hot.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, text, doc_id, **options).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest")).distinct()
-    mine = F.sha2(text_of(text).cast("binary"), 256)
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]) & (mine == kept["_digest"]), "left_semi")
+def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max", normalise: Column | None = None, counters: int = COUNTERS) -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns and no others.
+
+    Rows of heavy digests are removed where they are read. Of the others only
+    the ids and digests that go are joined back, by broadcast if they are few.
+    """
+    _, winners, rest = settled(docs, text, doc_id, keep, normalise, counters)
+    digest, keep_id, gone_id, gone_digest = unused(docs, "_digest", "_keep_id", "_gone_id", "_gone_digest")
+    hot = winners.select(F.col("digest").alias(gone_digest), F.col("keep_id").alias(keep_id))
+    # the digest of a row without a winner has none to join
+    rows = docs.withColumn(digest, digest_of(text, normalise)).join(F.broadcast(hot), F.col(digest) == F.col(gone_digest), "left")
+    rows = rows.where(F.col(gone_digest).isNull() | column(doc_id).eqNullSafe(F.col(keep_id))).drop(gone_digest, keep_id)
+    gone = stored(rest.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct(), "gone")
+    return rows.join(small(gone), column(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_digest)), "left_anti").drop(digest)
