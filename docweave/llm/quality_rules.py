@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a Column that is true where a document fails. On a sample each
-rule's selectivity (share rejected) and cost (seconds) are estimated, and the
-rules are tried by rejections per second, the best first; a document leaves at
-the first rule that rejects it. The order changes how fast a verdict is found,
-never the verdict.
+A rule is a Column of a text and its words that is true where a document fails;
+it computes what it needs itself. On a sample each rule's selectivity (share
+rejected) and cost (seconds, of the rule with its features) are estimated, and
+the rules are tried by rejections per second, the best first. A document leaves
+at the first rule that rejects it, before the features of later rules are
+computed. The order changes how fast a verdict is found, never the verdict.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of, words_of
+from .common import column, let, text_of, unused, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -24,8 +25,10 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
+    """``failed`` takes a text and its words; null counts as not failed."""
+
     name: str
-    failed: Callable[[], Column]
+    failed: Callable[[Column, Column], Column]
 
 
 def long_size(c: Column) -> Column:
@@ -59,36 +62,42 @@ def n_repeat_words(windows: Column) -> Column:
     return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda pairs: let(places(pairs), covered))
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one struct column, ``_q``, of the base features; null text has no words.
+def repeat_words(words: Column) -> Column:
+    """Words in five-word windows found twice or more; only a text in which two windows' hashes are equal is sorted."""
+    def found(windows: Column) -> Column:
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), n_repeat_words(windows)).otherwise(F.lit(0).cast("long"))
 
-    The windows are compared by a 64-bit hash. Only a text in which two hashes
-    are equal is sorted to find the words that they cover.
-    """
-    df = docs.withColumn("_text", text_of(text))
-    df = df.withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("_windows", windows_of(F.col("_words"))).withColumn("_lines", lines_of(F.col("_text")))
-    repeated = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), n_repeat_words(F.col("_windows"))).otherwise(F.lit(0).cast("long"))
-    return df.withColumn("_q", F.struct(
-        long_size(F.col("_words")).alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        n_symbols(F.col("_text")).alias("n_symbols"),
-        (long_size(F.col("_lines")) - long_size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        long_size(F.col("_lines")).alias("n_lines"),
-        repeated.alias("n_repeat_words")))
+    return let(windows_of(words), found)
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
+
+
+def n_dup_lines(lines: Column) -> Column:
+    return long_size(lines) - long_size(F.array_distinct(lines))
 
 
-def base_failed() -> Column:
-    return (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
+def few(words: Column) -> Column:
+    return F.size(words) < 10
 
 
+def repeats(n: Column, words: Column) -> Column:
+    return 100 * n > 20 * F.size(words)
+
+
+#: The base, as two rules.
+BASE = (
+    Rule("few_words", lambda text, words: few(words)),
+    Rule("repeats", lambda text, words: repeats(repeat_words(words), words)),
+)
 #: The method's own rules, beside the base.
 RULES = (
-    Rule("symbols", lambda: 10 * F.col("_q.n_symbols") > 3 * F.col("_q.n_words")),
-    Rule("word_length", lambda: (F.col("_q.word_chars") < 2 * F.col("_q.n_words")) | (F.col("_q.word_chars") > 20 * F.col("_q.n_words"))),
-    Rule("dup_lines", lambda: 10 * F.col("_q.n_dup_lines") > 3 * F.col("_q.n_lines")),
-    Rule("letters", lambda: 10 * F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))) < 6 * F.col("_q.n_words")),
-    Rule("capitals", lambda: 10 * F.size(F.filter("_words", lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))) > 7 * F.col("_q.n_words")),
+    Rule("symbols", lambda text, words: 10 * n_symbols(text) > 3 * F.size(words)),
+    Rule("word_length", lambda text, words: let(word_chars(words), lambda n: (n < 2 * F.size(words)) | (n > 20 * F.size(words)))),
+    Rule("dup_lines", lambda text, words: let(lines_of(text), lambda lines: 10 * n_dup_lines(lines) > 3 * F.size(lines))),
+    Rule("letters", lambda text, words: 10 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) < 6 * F.size(words)),
+    Rule("capitals", lambda text, words: 10 * F.size(F.filter(words, lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))) > 7 * F.size(words)),
 )
 
 
@@ -99,49 +108,85 @@ class Estimate:
     rejected: float
 
 
-def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, text: str = "text") -> list[Estimate]:
-    """Cost and selectivity of each rule over at most ``sample_rows`` rows, held by the session while they are timed."""
-    sample = with_features(docs.select(text).limit(sample_rows), text).cache()
-    try:
-        n = max(1, sample.count())
-        out = []
-        for rule in rules:
+def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, text: str = "text", sample_chars: int = 20_000, copies: int = 4, repeats: int = 3) -> list[Estimate]:
+    """Cost and selectivity of each rule over at most ``sample_rows`` texts of at most ``sample_chars`` characters.
+
+    The texts are every eighth of the first rows, by a hash, so that no more of
+    the table is read than they need; they are held while the rules are timed. Each rule
+    runs ``repeats`` times over ``copies`` of them, and its least time counts, less that of splitting alone.
+    """
+    body = docs.select(text_of(text).alias("text"))
+    short = body.where(F.length("text") <= sample_chars)
+    rows = short.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).take(sample_rows) or short.take(sample_rows)
+    if not rows:
+        return [Estimate(r.name, 0.0, 0.0) for r in rules]
+    sample = docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).cache()
+
+    def timed(rule: Rule) -> tuple[float, float]:
+        hit = let(words_of(F.col("text")), lambda words: F.coalesce(rule.failed(F.col("text"), words), F.lit(False)))
+        job, least = sample.agg(F.count(F.when(hit, 1)).alias("n")), float("inf")
+        for _ in range(1 + repeats):  # the first compiles
             began = time.perf_counter()
-            hit = sample.agg(F.count(F.when(rule.failed(), 1)).alias("n")).first()["n"]
-            out.append(Estimate(rule.name, time.perf_counter() - began, hit / n))
-        return out
+            n = job.first()["n"]
+            least = min(least, time.perf_counter() - began)
+        return least, n / (copies * len(rows))
+
+    try:
+        bare, _ = timed(Rule("none", lambda text, words: F.size(words) < 0))
+        return [Estimate(r.name, max(0.0, seconds - bare), rejected) for r in rules for seconds, rejected in [timed(r)]]
     finally:
         sample.unpersist()
 
 
 def ordered(rules: tuple[Rule, ...], found: list[Estimate]) -> list[Rule]:
-    gain = {e.name: e.rejected / max(e.seconds, 1e-9) for e in found}
-    return sorted(rules, key=lambda r: -gain[r.name])
+    """The rules by rejections per second, the most first; rules that rejected nothing last, the cheapest first; ties in their order."""
+    by = {e.name: e for e in found}
+    return sorted(rules, key=lambda r: (-by[r.name].rejected / max(by[r.name].seconds, 1e-6), by[r.name].seconds))
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """True where no rule rejects; CASE stops at the first branch that holds."""
-    verdict = F.when(base_failed(), F.lit(False))
+def cascade(rules: list[Rule], text: Column, words: Column) -> Column:
+    """True where no rule rejects; CASE computes no branch after the one that holds."""
+    verdict = None
     for rule in rules:
-        verdict = verdict.when(F.coalesce(rule.failed(), F.lit(False)), F.lit(False))
-    return verdict.otherwise(F.lit(True))
+        failed = F.coalesce(rule.failed(text, words), F.lit(False))
+        verdict = F.when(failed, F.lit(False)) if verdict is None else verdict.when(failed, F.lit(False))
+    return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    Null and empty texts have no words, fail the base and are not kept. Columns
-    of these names in ``docs`` are replaced; repeated rows each get their own
-    verdict; an empty table gives an empty table.
+    Null and empty texts have no words, fail the base and are not kept; texts of
+    any length are read whole. Columns of the names above are replaced, all
+    others stay; repeated rows each get the same verdict; an empty table gives an
+    empty table. The features of the base are asked for and so computed for all;
+    the method's rules cascade over what the base keeps. Windows are compared by
+    64-bit hashes.
     """
     order = ordered(rules, estimates(docs, rules, sample_rows, text))
-    out = with_features(docs, text)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.withColumns({n: F.col(f"_q.{n}") for n in names} | {"base_failed": base_failed(), "kept": cascade(order)}).drop("_text", "_words", "_windows", "_lines", "_q")
+    body, found = unused(docs, "_body", "_found")
+
+    def features(words: Column) -> Column:
+        own = F.struct(long_size(words).alias("n_words"), word_chars(words).alias("word_chars"), n_symbols(F.col(body)).alias("n_symbols"), n_dup_lines(lines_of(F.col(body))).alias("n_dup_lines"), repeat_words(words).alias("n_repeat_words"))
+        def judged(q: Column) -> Column:
+            failed = few(words) | repeats(q["n_repeat_words"], words)
+            return F.struct(*[q[n].alias(n) for n in FEATURES], failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(order, F.col(body), words)).alias("kept"))
+        return let(own, judged)
+
+    out = docs.withColumn(body, text_of(text)).withColumn(found, let(words_of(F.col(body)), features))
+    return out.withColumns({n: F.col(found)[n] for n in (*FEATURES, "base_failed", "kept")}).drop(body, found)
+
+
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    order = ordered(rules, estimates(docs, rules, sample_rows, text))
-    # a filter would be pushed below the features and compute them again for each use; a generator of one row or none stays above
-    return with_features(docs, text).withColumn("_kept", F.explode(F.when(cascade(order), F.array(F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns only; ``quality`` gives the same verdicts.
+
+    The base's rules take part in the order. One predicate holds the whole
+    cascade, so that a rejected text costs no rule beyond its own.
+    """
+    every = (*BASE, *rules)
+    order = ordered(every, estimates(docs, every, sample_rows, text))
+    verdict = let(text_of(text), lambda body: let(words_of(body), lambda words: cascade(order, body, words)))
+    return docs.where(verdict).select(*[column(c) for c in docs.columns])

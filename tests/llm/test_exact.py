@@ -81,17 +81,29 @@ def test_quality_features(documents):
 
 def test_order_of_rules_changes_no_verdict(documents):
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice(["word", "UPPER", "***", "x", "\n", "12"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(8, 40)))) for i in range(80)]
-    df = documents(rows).drop("kept")
-    feature = quality_rules.with_features(df)
-    verdicts = []
-    for rules in (list(quality_rules.RULES), list(quality_rules.RULES)[::-1]):
-        verdicts.append({r["doc_id"]: r["v"] for r in feature.select("doc_id", quality_rules.cascade(rules).alias("v")).collect()})
-    assert verdicts[0] == verdicts[1] and len(set(verdicts[0].values())) == 2
+    rows = [(i, " ".join(rng.choice(["word", "UPPER", "***", "x", "\n", "12"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(8, 40)))) for i in range(80)] + [(90, "a b c d e f g h i j k l " * 9), (91, None)]
+    df = documents(rows)
+    every, verdicts = [*quality_rules.BASE, *quality_rules.RULES], []
+    for rules in (every, every[::-1], every[3:] + every[:3]):
+        verdict = quality_rules.cascade(rules, quality_rules.text_of(), quality_rules.words_of(quality_rules.text_of()))
+        verdicts.append({r["doc_id"]: r["v"] for r in df.select("doc_id", verdict.alias("v")).collect()})
+    assert verdicts[0] == verdicts[1] == verdicts[2] and len(set(verdicts[0].values())) == 2
     kept = quality_rules.kept_documents(df)
     assert {r["doc_id"] for r in kept.collect()} == {d for d, v in verdicts[0].items() if v} and kept.columns == df.columns
-    found = [quality_rules.Estimate(r.name, 1.0 + i, 0.5) for i, r in enumerate(quality_rules.RULES)]
-    assert [r.name for r in quality_rules.ordered(quality_rules.RULES, found)] == [r.name for r in quality_rules.RULES]
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.quality(df).collect()} == verdicts[0]
+
+
+def test_rules_are_ordered_by_rejections_per_second(documents):
+    made = lambda seconds, rejected: [quality_rules.Estimate(r.name, s, x) for r, s, x in zip(quality_rules.RULES, seconds, rejected, strict=True)]
+    names = [r.name for r in quality_rules.RULES]
+    assert [r.name for r in quality_rules.ordered(quality_rules.RULES, made((1, 2, 3, 4, 5), (0.5,) * 5))] == names
+    assert [r.name for r in quality_rules.ordered(quality_rules.RULES, made((1, 2, 3, 4, 5), (0.1, 0.0, 0.9, 0.0, 0.9)))] == [names[2], names[4], names[0], names[1], names[3]]
+    # a rule that costs much and one that costs little, as measured
+    slow = quality_rules.Rule("slow", lambda text, words: quality_rules.F.size(quality_rules.F.filter(words, lambda w: w.rlike("(a|b|c)*d"))) > 0)
+    quick = quality_rules.Rule("quick", lambda text, words: quality_rules.F.size(words) > 0)
+    found = quality_rules.estimates(documents([(i, f"some words d {i} " * 300) for i in range(50)]), (slow, quick))
+    assert [e.rejected for e in found] == [1.0, 1.0] and found[0].seconds > found[1].seconds
+    assert [r.name for r in quality_rules.ordered((slow, quick), found)] == ["quick", "slow"]
 
 
 # mixing
