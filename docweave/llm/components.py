@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forgotten, stored
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
-    """(id, component): for each id in ``edges`` (a, b) the smallest id that it is connected with.
+    """(id, component): for each id in ``edges`` (a, b; of any ordered type) the smallest id that it is connected with.
 
     Alternates two steps until neither changes an edge. Large star: each node
     hands its smallest neighbour to all its larger ones. Small star: each node
@@ -27,7 +27,10 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         large = stored(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), label)
         down = stored(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), label)
         small = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        done = [edges, least, large, down]
         edges = stored(small.where("a <> b").distinct(), label)
+        for old in done:
+            forgotten(old)
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if after == before:
             break

@@ -9,11 +9,13 @@ keys stay in proportion to the set, and no list of the index is as long as a
 frequent token is common, unless two of one class meet in the prefixes of as
 many documents.
 
-Documents of equal sets are one node from the start, named by a 64-bit digest. Most
+Documents of equal sets are one from the start, named by a 128-bit digest; the index
+uses its first half, where a false match costs time only. Most
 keys are one document's alone; a first pass over their names alone finds the
-others, and only those are listed. Lists are pruned by length and by parity sketches, which never undercount a difference, and give edges that
+others, and only those are listed. Buckets of lists that grow too large are dealt
+to blocks, and every two blocks meet in a task. Lists are pruned by length and by parity sketches, which never overcount a difference, and give edges that
 keep every true link connected. The components of these edges are then verified
-with whole sets, in units of bounded size, and the verified links give the
+with whole sets, in units of bounded rows and bytes, and the verified links give the
 components that are returned.
 """
 
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_of
+from .common import column, partitions, small, stored, text_of
 from .components import components
 from .shingles import ODD, mixed, shingle_sets, sketches
 
@@ -46,8 +49,10 @@ LIST, LONG_LIST = 32, 512
 SHARED_BITS = 1 << 27
 #: Size of the Bloom filters of document ids.
 BLOOM_BITS = 1 << 23
-#: Documents of a verification unit's chunk.
-CHUNK = 512
+#: Sets of a verification unit's chunk, and bytes of them.
+CHUNK, CHUNK_BYTES = 2048, 16 << 20
+#: Bytes of listed entries from which a bucket is dealt to blocks of about that size.
+BLOCK_BYTES = 64 << 20
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("s", "<u8", SKETCH // 64)])
 
 
@@ -61,9 +66,14 @@ def difference(total: np.ndarray, percent: int) -> np.ndarray:
     return total * (100 - percent) // (100 + percent)
 
 
-def digest_of(s: np.ndarray) -> int:
-    """The name of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(s: np.ndarray) -> bytes:
+    """The name of a set: 128 bits."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def node_of(digest: bytes) -> int:
+    """The first half of a name, which the index uses."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -77,15 +87,16 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, digest of the set for each document."""
+    """doc_id, n, digest of the set, node for each document."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             sets = shingle_sets(texts_of(b, 1), words)
             digests = [digest_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()),
+                                               "node": pa.array([d and node_of(d) for d in digests], pa.int64())})
 
-    return docs.mapInArrow(profile, "doc_id long, n long, digest long")
+    return docs.mapInArrow(profile, "doc_id long, n long, digest binary, node long")
 
 
 def probed(docs: DataFrame) -> DataFrame:
@@ -93,17 +104,6 @@ def probed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"h{k}") for k in range(3)])
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each member, in order."""
-    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
-
-
 def among(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of ``probed`` that the filter holds."""
     for b in in_slices(batches):
@@ -292,7 +292,9 @@ def list_edges(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndar
     """(a, b, forest) of all lists in a bucket."""
     rows = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
     rows = rows[np.lexsort((rows["id"], rows["n"], rows["key"]))]
-    rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])))]  # copies in other tasks
+    # copies in other tasks; sets of one node differ in size or sketch, as far as it matters
+    same = (rows["key"][1:] == rows["key"][:-1]) & (rows["id"][1:] == rows["id"][:-1]) & (rows["n"][1:] == rows["n"][:-1]) & (rows["s"][1:] == rows["s"][:-1]).all(1)
+    rows = rows[np.concatenate(([True], ~same))]
     new = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(rows)))
@@ -316,11 +318,11 @@ def list_edges(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndar
     return edges[:, 0], edges[:, 1], edges[:, 2]
 
 
-def verified(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def verified(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
     """(smallest, other) for the sets of a unit that true links connect."""
     n = np.array([len(s) for s in sets], np.int64)
-    by = np.lexsort((ids, n))
-    ids, n, sets = ids[by], n[by], [sets[i] for i in by]
+    by = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    ids, n, sets = [ids[i] for i in by], n[by], [sets[i] for i in by]
     bits = 1 << max(8, int(n.max() if len(n) else 1).bit_length())
     marks = sketches(sets, bits)
     root = np.arange(len(ids))
@@ -336,10 +338,16 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
                 shared = int((both[1:] == both[:-1]).sum())
                 if 100 * shared >= percent * (len(both) - shared):
                     root[root == root[i]] = root[j]
-    least: dict[int, int] = {}
-    for r, d in zip(root.tolist(), ids.tolist(), strict=True):
+    least: dict[int, bytes] = {}
+    for r, d in zip(root.tolist(), ids, strict=True):
         least[r] = min(least.get(r, d), d)
-    return [(least[r], d) for r, d in zip(root.tolist(), ids.tolist(), strict=True) if least[r] != d]
+    return [(least[r], d) for r, d in zip(root.tolist(), ids, strict=True) if least[r] != d]
+
+
+def paired(df: DataFrame, key: str, chunk, chunks) -> DataFrame:
+    """``df`` with i and j: each row in every unit of its chunk and another of ``chunks``, so that every two rows of a key meet in one; a lone chunk is a unit."""
+    df = df.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1))).where((chunks == 1) | (F.col("_chunk") != F.col("_other")))
+    return df.withColumns({"i": F.least("_chunk", "_other"), "j": F.greatest("_chunk", "_other")}).drop("_chunk", "_other")
 
 
 def present(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -355,14 +363,16 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Null and empty texts, and texts of white space, have no shingles and link
-    with nothing. Rows that repeat a doc_id must repeat its text. An empty table
-    gives no rows; other columns are ignored. Shingles are compared by 64-bit
-    hashes.
+    with nothing. Texts of any length are read whole. Every row is judged by its
+    own text, also where rows repeat a doc_id, and a component is called by its
+    smallest doc_id, or null where all its ids are null. An empty table gives no
+    rows; other columns are ignored. Shingles are compared by 64-bit hashes, and
+    sets are equal by a 128-bit digest of these.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = stored(profiles(docs, words), "profiles")
-    reps = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    reps = stored(rows.where("n > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
     frequent = frequent_tokens(docs, reps, words, FREQUENT, OFTEN)
     at = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[at], at))
@@ -371,9 +381,9 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, order = shared.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in in_slices(batches):
-            new: dict[int, np.ndarray] = {}
+            new: dict[bytes, np.ndarray] = {}
             for x in shingle_sets(texts_of(b, 1), words):
                 d = digest_of(x)
                 if len(x) and d not in seen:  # copies in one task give their keys once
@@ -381,7 +391,7 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
             if len(seen) < 1 << 20:
                 seen.update(new)
             yield pa.RecordBatch.from_pydict({
-                "digest": pa.array(list(new), pa.int64()), "size": pa.array([len(x) for x in new.values()], pa.int64()),
+                "node": pa.array([node_of(d) for d in new], pa.int64()), "size": pa.array([len(x) for x in new.values()], pa.int64()),
                 "keys": pa.array([index_keys(x, frequent, order, percent).tobytes() for x in new.values()], pa.binary()),
                 "sketch": pa.array([sketches([x], bits_for(len(x))).tobytes() for x in new.values()], pa.binary())})
 
@@ -406,40 +416,48 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
         a, b, forest = list_edges(payloads, percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "forest": pa.array(forest)})
 
-    indexed = stored(docs.mapInArrow(keys, "digest long, size long, keys binary, sketch binary"), "index")
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in entries(batches):
+            yield pa.RecordBatch.from_pydict({"bucket": b.column(0), "bytes": pc.binary_length(b.column(1)).cast(pa.int64())})
+
+    indexed = stored(docs.mapInArrow(keys, "node long, size long, keys binary, sketch binary"), "index")
     often = spark.sparkContext.broadcast(shared_keys(indexed, max(partitions(spark), weight * (100 - percent) // 100 * 4 >> 24)))
-    by_bucket = indexed.mapInArrow(entries, "bucket long, payload binary")
-    candidates = stored(by_bucket.groupBy("bucket").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
-    named = indexed.select("digest", "size", "sketch").dropDuplicates(["digest"])
-    sketch = lambda x: named.select(F.col("digest").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    # hot lists: how many blocks each bucket is dealt to, if more than one; no more rows than BLOCK_BYTES go into the listed bytes
+    hot = indexed.mapInArrow(weights, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
+    hot = stored(hot.select("bucket", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("chunks")), "hot")
+    by_bucket = indexed.mapInArrow(entries, "bucket long, payload binary").join(small(hot), "bucket", "left")
+    by_bucket = paired(by_bucket, "bucket", F.pmod(F.xxhash64("payload"), F.coalesce("chunks", F.lit(1))).cast("int"), F.coalesce("chunks", F.lit(1))).select("bucket", "i", "j", "payload")
+    candidates = stored(by_bucket.groupBy("bucket", "i", "j").applyInArrow(edges, "a long, b long, forest long").groupBy("a", "b").agg(F.max("forest").alias("forest")), "candidates")
+    named = indexed.select("node", "size", "sketch").distinct()
+    sketch = lambda x: named.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     open_pairs = candidates.where("forest = 0").select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b")
     settled = open_pairs.mapInArrow(lambda it: told_apart(it, percent), "a long, b long")
     near = stored(components(candidates.where("forest = 1").select("a", "b").unionByName(settled)), "near")
 
     # units of at most two chunks each, so that a component of any size is spread
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    units = near.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("id", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    wanted = rows.join(near.select(F.col("id").alias("digest")), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    size = reps.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("size"))
+    near = near.join(size, "id")
+    sizes = near.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(8 * F.sum("size") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    units = paired(near.join(sizes, "component"), "component", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.col("chunks")).select("id", "component", "i", "j")
+    wanted = rows.join(near.select(F.col("id").alias("node")), "node", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
     bloom = spark.sparkContext.broadcast(present(wanted.select("id")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in among(batches, bloom.value):
             sets = shingle_sets(texts_of(b, 1), words)
-            yield pa.RecordBatch.from_pydict({"digest": pa.array([digest_of(x) for x in sets], pa.int64()), "members": pa.array([packed(x) for x in sets], pa.binary())})
+            digests = [digest_of(x) for x in sets]
+            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(d) for d in digests], pa.int64()), "digest": pa.array(digests, pa.binary()), "members": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, bytes] = {}
+        found: dict[bytes, bytes] = {}
         for b in batches:
-            found |= dict(zip(b.column("id").to_pylist(), b.column("members").to_pylist(), strict=True))
-        ids, sets = list(found), [unpacked(m) for m in found.values()]
-        links = verified(np.array(ids, np.int64), sets, percent)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    members = probed(docs).mapInArrow(sets_of, "digest long, members binary")
-    full = units.join(members, units["id"] == members["digest"]).select("component", "i", "j", "id", "members")
-    links = full.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
+            found |= dict(zip(b.column("digest").to_pylist(), b.column("members").to_pylist(), strict=True))
+        links = verified(list(found), [np.frombuffer(m, np.uint64) for m in found.values()], percent)
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    members = probed(docs).mapInArrow(sets_of, "node long, digest binary, members binary")
+    full = units.join(members, units["id"] == members["node"]).select("component", "i", "j", "digest", "members")
+    links = full.groupBy("component", "i", "j").applyInArrow(verify, "a binary, b binary")
     linked = stored(components(links), "linked")
 
     # a component is called by the smallest document of all its sets
@@ -451,6 +469,12 @@ def near_components(docs: DataFrame, text: str = "text", words: int = WORDS, per
 
 
 def one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    kept = near_components(docs, text, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    The cases of ``near_components`` hold. Rows without a doc_id stay; rows that
+    repeat one stay together, if one of them is its component's smallest. Only the ids that go are
+    joined back, by broadcast if they are few.
+    """
+    found = near_components(docs, text, words, percent).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stored(found.where("_gone is not null and not stays").select("_gone"), "gone")
+    return docs.join(small(gone), column("doc_id") == F.col("_gone"), "left_anti")

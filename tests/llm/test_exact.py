@@ -238,7 +238,7 @@ def test_similar_sets_share_a_key(percent):
     assert seen > 100
 
 
-@pytest.mark.parametrize(("k", "percent", "limits"), [(4, 85, {}), (5, 80, {}), (4, 85, {"OFTEN": 3, "SOME": 1, "LIST": 3, "LONG_LIST": 4, "TOLD": 25, "CHUNK": 4})])
+@pytest.mark.parametrize(("k", "percent", "limits"), [(4, 85, {}), (5, 80, {}), (4, 85, {"OFTEN": 3, "SOME": 1, "LIST": 3, "LONG_LIST": 4, "TOLD": 25, "CHUNK": 4, "BLOCK_BYTES": 400})])
 def test_near_copies(documents, monkeypatch, k, percent, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ngram_join, name, value)
@@ -262,6 +262,41 @@ def test_shortest_similar_sets(documents):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}  # 4 of 5, 3 of 6
 
 
+def test_hot_lists_and_large_components_are_split(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1 << 14)
+    rng, units, lists = random.Random(4), [], []
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"end{i}"])) for i in range(900)] + [(5000 + i, " ".join(rng.sample(base, 60))) for i in range(40)]
+    paired = ngram_join.paired
+    monkeypatch.setattr(ngram_join, "paired", lambda *a: (lambda df: ((lists if a[1] == "bucket" else units).append(df), df)[1])(paired(*a)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(documents(rows).repartition(8), words=4, percent=85).collect()}
+    assert {got[i] for i in range(900)} == {0} and all(got[d] == d for d in got if d >= 5000)
+    assert lists[0].agg({"j": "max"}).first()[0] >= 2 and max(r["count"] for r in units[0].groupBy("component", "i", "j").count().collect()) < 900
+
+
+def test_equal_halves_of_names_are_told_apart(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "node_of", lambda digest: digest[0] % 4)
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"v{(i // 3) * 100 + k}" for k in range(40)]
+        w[rng.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_components(documents(rows).repartition(3)).collect()}
+    want = plain_components(rows, 4, 85)
+    assert {d: n for d, (n, _) in got.items()} == {d: n for d, (n, _) in want.items()}
+
+
+def test_repeated_and_missing_ids(documents):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text), (3, text + " x"), (3, "another text of its own, and some words more"), (None, text), (None, None), (7, text), (7, text)]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_components(documents(rows)).collect())
+    assert got == {(3, 7, 3): 1, (3, 8, 3): 1, (3, 6, 3): 1, (None, 7, 3): 1, (None, 0, None): 1, (7, 7, 3): 2}
+    kept = collections.Counter(r["doc_id"] for r in ngram_join.one_of_each(documents(rows)).collect())
+    assert kept == {3: 3, None: 2}
+
+
 def test_one_of_each(documents):
     text = "one two three four five six seven eight nine ten"
     kept = ngram_join.one_of_each(documents([(3, text), (2, text), (5, None), (6, "")]))
