@@ -428,6 +428,50 @@ def test_one_surrogate_whatever_the_title(documents):
     assert name[1].split()[0] in pii.GIVEN["latin", "m"].split() and got[4][3:] == got[5][4:] and got[4].split()[1] in pii.GIVEN["latin", "f"].split()
 
 
+def test_script_stays(documents):
+    text = {1: "Herr 王小明 und Frau 李丽", 2: "Αλέξης Παπάς", 3: "иван@почта.рф", 4: "Dr محمد علي", 5: "Ms ΜΑΡΊΑ ΠΑΠΆ", 6: "Mr 김민수"}
+    got = {r["doc_id"]: r for r in pii.surrogates(documents(list(text.items())), "k").collect()}
+    kept = {1: r"Herr \p{IsHan}+ und Frau \p{IsHan}+", 2: r"\p{IsGreek}+ \p{IsGreek}+", 3: r"[\p{IsCyrillic}]+@[\p{IsCyrillic}]+\.рф", 4: r"Dr \p{IsArabic}+ \p{IsArabic}+", 5: r"Ms \p{IsGreek}+ \p{IsGreek}+", 6: r"Mr \p{IsHangul}+"}
+    import regex
+
+    for d, pattern in kept.items():
+        assert regex.fullmatch(pattern.replace("Is", "Script="), got[d]["text"]) and got[d]["text"] != text[d], got[d]["text"]
+    assert got[1]["n_entities"] == 2 and "小明" not in got[1]["text"] and got[5]["text"].isupper() is False and got[5]["text"][3:].isupper()
+
+
+def test_entities_and_surrogates_correspond_one_to_one(documents):
+    rng = random.Random(12)
+    entity = {}  # spelling -> entity
+    for i in range(60):
+        d = f"{rng.randint(200, 999)}{rng.randint(200, 999)}{rng.randint(1000, 9999)}"
+        entity |= {f"+1 {d[:3]} {d[3:6]} {d[6:]}": ("phone", d), f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}": ("phone", d)}
+        a = f"{rng.choice('ab')}{rng.choice('ab')}@{rng.choice('ab')}.io"
+        entity |= {a: ("mail", a), a.upper(): ("mail", a)}
+        n = f"{rng.choice(['Wei', 'Ana', 'Noor'])} {rng.choice(['Chen', 'Ruiz', 'Khan'])}"
+        entity |= {f"{t} {n}": ("name", n) for t in ("Dr", "Mr.", "Prof")} | {f"Dr {n.upper()}": ("name", n)}
+        ip = f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 9)}"
+        entity[ip] = ("ip", ip)
+    spelled = sorted(entity)
+    rows = [(i if i % 4 else None, " ; ".join(rng.sample(spelled, 6)) if i else " ; ".join(spelled)) for i in range(80)]
+    plain = lambda kind, m: {"phone": re.sub(r"\D", "", m[2:]), "name": re.sub(r"^\w+\.? ", "", m).lower()}.get(kind, m.lower())
+    new = collections.defaultdict(set)
+    got = pii.surrogates(documents(rows).withColumn("was", quality_rules.F.col("text")), "k").collect()
+    for r in got:
+        old, now = r["was"].split(" ; "), r["text"].split(" ; ")
+        assert len(old) == len(now) == r["n_entities"]
+        for a, b in zip(old, now, strict=True):
+            new[entity[a]].add(plain(entity[a][0], b))
+    assert all(len(x) == 1 for x in new.values())
+    flat = [(e[0], *x) for e, x in new.items()]
+    assert len(set(flat)) == len(new) == len({*entity.values()}) and not {x for _, x in flat} & {plain(e[0], a) for a, e in entity.items()}
+
+
+def test_a_crowded_form_ends(documents):
+    rows = [(None, f"write to {a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = [r["text"] for r in pii.surrogates(documents(rows), "k").collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
+
+
 def test_full_forms_are_left(spark, documents):
     got = {r["doc_id"]: r for r in pii.surrogates(documents([(1, "Password: ________ and 5 more"), (2, "token = -------- or a=b"), (3, "token = -------7")]), "k").collect()}
     assert [got[i]["n_entities"] for i in (1, 2, 3)] == [0, 0, 1] and "________" in got[1]["text"]
