@@ -52,10 +52,10 @@ LABELLED_CONFIG = {"root": "document", "names": {".label": "label"}}
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """A nested object that some documents have."""
-    d = table(spark, folder, "documents").select("doc_id", "lang")
+    """A nested object that some documents have, beside their whole text."""
+    d = table(spark, folder, "documents").select("doc_id", "lang", "text")
     one = table(spark, folder, "labels").select(F.col("doc_id").alias("l"), F.struct("quality", "toxic").alias("label"))
-    doc = F.struct(F.col("doc_id").alias("id"), "lang", "label")
+    doc = F.struct(F.col("doc_id").alias("id"), "lang", "label", "text")
     return d.join(one, F.col("doc_id") == F.col("l"), "left").select(F.col("doc_id").alias("doc_ord"), F.to_json(doc).alias("value"))
 
 
@@ -87,3 +87,37 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TURNS_CONFIG = {"root": "conversation", "names": {".turns": "turn"}}
+
+
+def broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers, of which six in seven are no JSON object, or repeat a member."""
+    c = table(spark, folder, "customer").withColumn("h", F.to_json(F.struct(F.col("c_custkey").alias("id"))))
+    ways = ["{h}", "{h} x", "{h}] x", '{"id":1,"at":{"n":1,"n":2}}', "[{h}]", '{"xs":[{"k":{"id":1,"id":1}}]}', '{"id":1,}']
+    value = F.lit(ways[0])
+    for k, way in enumerate(ways):
+        value = F.when(F.col("c_custkey") % 7 == k, way).otherwise(value)
+    return c.select(F.col("c_custkey").alias("doc_ord"), F.replace(value, F.lit("{h}"), F.col("h")).alias("value"))
+
+
+ALIKE_CONFIG = {"root": "nation"}
+
+
+def alike(spark: SparkSession, folder: str) -> DataFrame:
+    """Members whose names differ in case only."""
+    n = table(spark, folder, "nation")
+    text = F.concat(F.lit('{"id":'), F.col("n_nationkey").cast("string"), F.lit(',"name":"'), F.col("n_name"), F.lit('","Name":'), F.col("n_regionkey").cast("string"), F.lit(',"NAME":true}'))
+    return n.select(F.col("n_nationkey").cast("long").alias("doc_ord"), text.alias("value"))
+
+
+MARKS_CONFIG = {"root": "mark"}
+
+
+def marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings in the form of a uuid in one member, and among others in another; integers of any size, and fractions."""
+    c = table(spark, folder, "customer").withColumn("h", F.md5("c_name"))
+    part = lambda at, n: F.substring("h", at, n)
+    uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    some = F.when(F.col("c_custkey") % 5 == 0, "none").otherwise(uuid)
+    big = F.when(F.col("c_custkey") % 3 == 0, "9223372036854775807").when(F.col("c_custkey") % 3 == 1, "7").otherwise("0.5")
+    text = F.concat(F.lit('{"id":'), F.col("c_custkey").cast("string"), F.lit(',"key":"'), uuid, F.lit('","some":"'), some, F.lit('","n":'), big, F.lit("}"))
+    return c.select(F.col("c_custkey").cast("long").alias("doc_ord"), text.alias("value"))

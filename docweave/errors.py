@@ -17,6 +17,7 @@ MESSAGES = {
     "reservedColumnName": "a member with the name of a generated column",
     "tableNameClash": "two tables of one name",
     "configuration": "the configuration is not usable",
+    "invalidSchema": "a layout that does not hold together",
     "nullInTotalColumn": "NULL in the data of a column that inference found total",
     "duplicateKey": "a key that stands in more than one row",
     "orphan": "a reference to a row that does not exist",

@@ -1,24 +1,29 @@
 """What every document says about every table and column, counted.
 
-Level by level: the objects of a level are exploded into members once; the rows
-are grouped by (path, member) - a commutative merge, summed before the shuffle -
-and their nested objects and collections are the next level. Only the grouped
-rows, as many as the schema has columns, reach the driver.
+One pass, whatever the depth: each task walks its documents and counts by
+(path, member); the counts, as many rows as the schema has columns, are summed
+across tasks - a commutative merge - and only these sums reach the driver. The
+JVM parses and refuses; the walk is in Arrow batches, as it recurses, which
+columns cannot, and taking levels apart by columns copies all that lies below
+once a level.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..lattice import INT_BOUND
 from ..paths import ELEMENT, ENTRY, Path, shown
-from ..sources.corpus import kind_of
 
-UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 @dataclass
@@ -54,86 +59,110 @@ def merged(a: Tables, b: Tables) -> Tables:
     return {p: a.get(p, Table()).merged(b.get(p, Table())) for p in {*a, *b}}
 
 
-def tag_of(value: Column, marked: Column) -> Column:
-    """The type of a member's value; ``marked`` says that objects here are maps."""
-    shape = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "bigint")
-    text = F.try_variant_get(value, "$", "string")
-    return (F.when(value.isNull() | (shape == "VOID"), "null").when(shape.startswith("OBJECT"), F.when(marked, "coll").otherwise("ref"))
-            .when(shape.startswith("ARRAY"), "coll").when(shape == "BOOLEAN", "bool")
-            .when(shape == "STRING", F.when(text.rlike(UUID), "uuid").otherwise("str"))
-            .when(shape == "BIGINT", F.when(whole.between(-INT_BOUND, INT_BOUND), "int").otherwise("float"))
-            .otherwise("float"))
-
-
-def is_big(value: Column) -> Column:
-    """An integer beyond the bound."""
-    shape = F.schema_of_variant(value)
-    return (shape == "BIGINT") & ~F.try_variant_get(value, "$", "bigint").between(-INT_BOUND, INT_BOUND) | shape.rlike(r"^DECIMAL\(\d+,0\)$") & (F.abs(F.try_variant_get(value, "$", "double")) > float(INT_BOUND))
-
-
-def marked_here(maps: tuple[Path, ...]) -> Column:
-    out = F.lit(False)
-    for m in maps:
-        here = F.array(*[F.lit(s) for s in m[:-1]]) if m[:-1] else F.array().cast("array<string>")
-        out = out | ((F.col("path") == here) & (F.concat(F.lit("."), F.col("member")) == m[-1]))
+def tag_of(value: object) -> str:
+    """The type of a scalar."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "bool"
+    if isinstance(value, str):
+        return "uuid" if len(value) == 36 and UUID.fullmatch(value) else "str"
+    return "int" if isinstance(value, int) and -INT_BOUND <= value <= INT_BOUND else "float"
+
+
+class Seen:
+    """What a task has seen of one table: visits, elements or entries that are objects or scalars, members as [n, nulls, tags, big], and the tables below."""
+
+    def __init__(self, path: Path) -> None:
+        self.path, self.visits, self.objects, self.scalars, self.refused = path, 0, False, False, set()
+        self.members: dict[str, list] = {}
+        self.below: dict[tuple, Seen] = {}
+
+    def under(self, *segments: str) -> Seen:
+        found = self.below.get(segments)
+        if found is None:
+            found = self.below[segments] = Seen((*self.path, *segments))
+        return found
+
+    def node(self, node: object, inner: bool, maps: set[Path], todo: list) -> None:
+        """Counts one node; what lies in it goes to ``todo``."""
+        self.visits += 1
+        if isinstance(node, list):
+            self.refused.add("mapEntryNotSupported" if self.path and self.path[-1] == ENTRY else "nestedArray")
+            return
+        held = isinstance(node, dict)
+        self.objects |= inner and held
+        self.scalars |= inner and not held
+        for name, value in node.items() if held else (("value", node),):
+            said = self.members.get(name)
+            if said is None:
+                said = self.members[name] = [0, 0, set(), False]
+            said[0] += 1
+            if isinstance(value, list):
+                said[2].add("coll")
+                todo.append((self.under(f".{name}", ELEMENT), value, True))
+            elif not isinstance(value, dict):
+                tag = tag_of(value)
+                said[1] += tag == "null"
+                said[2].add(tag)
+                said[3] |= tag == "float" and isinstance(value, int)
+            elif maps and (*self.path, f".{name}") in maps:
+                said[2].add("coll")
+                todo.append((self.under(f".{name}", ENTRY), list(value.values()), True))
+            else:
+                said[2].add("ref")
+                todo.append((self.under(f".{name}"), [value], False))
+
+    def rows(self) -> Iterator[tuple]:
+        """All counts: path, member, n, objects, scalars, nulls, tags, big."""
+        todo = [self]
+        while todo:
+            t = todo.pop()
+            todo.extend(t.below.values())
+            yield list(t.path), None, t.visits, t.objects, t.scalars, 0, sorted(t.refused), False
+            for name, (n, nulls, tags, big) in t.members.items():
+                yield list(t.path), name, n, False, False, nulls, sorted(tags), big
+
+
+def counted(corpus: DataFrame, maps: tuple[Path, ...]) -> DataFrame:
+    """path, member, n, objects, scalars, nulls, tags, big: what each task has seen, as many rows as the schema has columns."""
+    schema = "path array<string>, member string, n long, objects boolean, scalars boolean, nulls long, tags array<string>, big boolean"
+    types = [pa.list_(pa.string()), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, marked = Seen(()), set(maps)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                todo: list = [(root, [json.loads(text)], False)]
+                while todo:
+                    table, nodes, inner = todo.pop()
+                    for node in nodes:
+                        table.node(node, inner, marked, todo)
+        if root.visits:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*root.rows(), strict=True), types, strict=True)], names=["path", "member", "n", "objects", "scalars", "nulls", "tags", "big"])
+
+    return corpus.select(F.to_json("doc").alias("doc")).mapInArrow(walked, schema)
+
+
+def gathered(rows: DataFrame) -> Tables:
+    """The observations in rows of ``counted``, which may come from several runs of it."""
+    sums = rows.groupBy("path", "member").agg(F.sum("n").alias("n"), F.max("objects").alias("objects"), F.max("scalars").alias("scalars"), F.sum("nulls").alias("nulls"), F.array_distinct(F.flatten(F.collect_set("tags"))).alias("tags"), F.max("big").alias("big"))
+    out: Tables = {}
+    for r in sorted(sums.collect(), key=lambda r: (r["path"], r["member"] or "")):  # a row for each column of the schema
+        path, tags = tuple(r["path"]), set(r["tags"])
+        for refused in ("nestedArray", "mapEntryNotSupported"):
+            if refused in tags:
+                raise Refused(refused, shown(path))
+        table = out.setdefault(path, Table())
+        if r["member"] is None:
+            table.visits += r["n"]
+            table.objects |= r["objects"]
+            table.scalars |= r["scalars"]
+        else:
+            table.members[r["member"]] = Observation(tags - {"null"}, r["n"] - r["nulls"], r["nulls"], r["big"])
     return out
 
 
-def exploded(nodes: DataFrame, maps: tuple[Path, ...]) -> DataFrame:
-    """nodes (path, node, inner: element or entry of a collection) to one row a node with no member, and one a member."""
-    df = nodes.withColumn("kind", kind_of(F.col("node")))
-    members = F.map_entries(F.try_variant_get("node", "$", "map<string,variant>"))
-    as_rows = lambda key, value: F.struct(key.alias("member"), value.alias("value"))
-    none = F.array(as_rows(F.lit(None).cast("string"), F.lit(None).cast("variant")))
-    own = F.when(F.col("kind") == "O", F.concat(none, F.transform(members, lambda e: as_rows(e["key"], e["value"])))).otherwise(F.concat(none, F.array(as_rows(F.lit("value"), F.col("node")))))
-    df = df.select("path", "inner", "kind", F.explode(own).alias("m")).select("path", "inner", "kind", "m.member", "m.value")
-    return df.withColumn("tag", F.when(F.col("kind") == "A", F.when(F.element_at("path", -1) == ENTRY, "mapEntryNotSupported").otherwise("nestedArray"))
-                         .when(F.col("member").isNotNull(), tag_of(F.col("value"), marked_here(maps))))
-
-
-def counted(rows: DataFrame) -> DataFrame:
-    """path, member, n, inner_objects, inner_scalars, nulls, tags, big - grouped from ``exploded``, with tables of empty collections."""
-    empty = rows.where((F.col("tag") == "coll") & (F.col("kind") != "A"))
-    sub = F.concat("path", F.array(F.concat(F.lit("."), F.col("member")), F.when(kind_of(F.col("value")) == "A", ELEMENT).otherwise(ENTRY)))
-    holders = empty.select(sub.alias("path"), F.lit(None).cast("string").alias("member"), F.lit(0).alias("one"), F.lit(False).alias("o"), F.lit(False).alias("s"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("big"))
-    seen = rows.select("path", "member", F.lit(1).alias("one"), (F.col("inner") & (F.col("kind") == "O")).alias("o"), (F.col("inner") & (F.col("kind") == "S")).alias("s"), "tag",
-                       F.when(F.col("tag") == "float", is_big(F.col("value"))).otherwise(F.lit(False)).alias("big"))
-    return seen.unionByName(holders).groupBy("path", "member").agg(
-        F.sum("one").alias("n"), F.max("o").alias("objects"), F.max("s").alias("scalars"), F.sum(F.when(F.col("tag") == "null", 1).otherwise(0)).alias("nulls"),
-        F.array_sort(F.collect_set("tag")).alias("tags"), F.max("big").alias("big"))
-
-
-def below(rows: DataFrame) -> DataFrame:
-    """The nodes of the next level."""
-    inside = rows.where(F.col("tag").isin("ref", "coll") & (F.col("kind") != "A")).withColumn("k", kind_of(F.col("value")))
-    name = F.concat(F.lit("."), F.col("member"))
-    items = (F.when(F.col("tag") == "ref", F.array("value")).when(F.col("k") == "A", F.try_variant_get("value", "$", "array<variant>"))
-             .otherwise(F.map_values(F.try_variant_get("value", "$", "map<string,variant>"))))
-    path = F.when(F.col("tag") == "ref", F.concat("path", F.array(name))).otherwise(F.concat("path", F.array(name, F.when(F.col("k") == "A", ELEMENT).otherwise(ENTRY))))
-    return inside.select(path.alias("path"), F.explode(items).alias("node"), (F.col("tag") == "coll").alias("inner"))
-
-
 def observed(corpus: DataFrame, maps: tuple[Path, ...] = ()) -> Tables:
-    """Observations of all documents. One job a nesting level."""
-    nodes = corpus.select(F.array().cast("array<string>").alias("path"), F.col("doc").alias("node"), F.lit(False).alias("inner"))
-    out: Tables = {}
-    while True:
-        rows = exploded(nodes, maps)
-        deeper = False
-        for r in counted(rows).collect():  # a row for each column of this level
-            path, tags = tuple(r["path"]), set(r["tags"])
-            for refused in ("nestedArray", "mapEntryNotSupported"):
-                if refused in tags:
-                    raise Refused(refused, shown(path))
-            table = out.setdefault(path, Table())
-            if r["member"] is None:
-                table.visits += r["n"]
-                table.objects |= r["objects"]
-                table.scalars |= r["scalars"]
-            else:
-                table.members[r["member"]] = Observation(tags - {"null"}, r["n"] - r["nulls"], r["nulls"], r["big"])
-                deeper |= bool(tags & {"ref", "coll"})
-        if not deeper:
-            return out
-        nodes = below(rows)
+    """Observations of all documents, in one job."""
+    return gathered(counted(corpus, maps))

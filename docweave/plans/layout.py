@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import graphlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
 from ..errors import Refused
 from ..lattice import SPARK, SQL
-from ..paths import ELEMENT, ENTRY, Path, holder, kind, owner, shown
+from ..paths import ELEMENT, ENTRY, Path, kind, owner, shown
 from .infer import Inference
 
 #: Words that cannot be names in a strict target language.
 KEYWORDS = frozenset("and as assert begin class constraint do done downto else end exception external false for fun function functor if in include inherit initializer lazy let match method module mutable new nonrec object of open or private rec sig struct then to true try type val virtual when while with".split())
 
 
-def mangled(name: str) -> str:
-    """A name of letters, digits and ``'`` that starts in lower case, is no keyword, and differs for different names."""
-    out = "".join(chr(b) if chr(b).isalnum() and b < 128 or b == 39 else f"_{b:02x}" for b in name.encode())
+def mangled(name: str, fold: bool = False) -> str:
+    """A name of letters, digits and ``'`` that starts in lower case, is no keyword, and differs for different names; with ``fold`` also without regard to case."""
+    out = "".join(chr(b) if chr(b).isalnum() and b < 128 and not (fold and 65 <= b <= 90) or b == 39 else f"_{b:02x}" for b in name.encode())
     if not re.match("[a-z]", out):
         out = f"f__{out}"
     return f"{out}_" if out in KEYWORDS else out
@@ -111,14 +112,16 @@ def laid_out(inference: Inference) -> Layout:
             fields.append(Field(f"{names[owner(p)]}_id", keys[owner(p)][0], False, "parent", None, owner(p)))
             fields.append(Field("key", "str", False, "position") if kind(p) == "entry" else Field("idx", "int", False, "position"))
         taken = {f.name.lower() for f in fields}
-        for c in columns:
-            if c.name == "id" or c.type == "coll":
-                continue
-            if c.name.lower() in taken:
+        held = [c for c in columns if c.name != "id" and c.type != "coll"]
+        alike = Counter(c.name.lower() for c in held)
+        for c in held:
+            # Spark and SQL know names without regard to case: of members that differ in nothing else, those with capitals are spelled out
+            name = mangled(c.name, fold=True) if alike[c.name.lower()] > 1 and c.name != c.name.lower() else c.name
+            if name.lower() in taken:
                 raise Refused("reservedColumnName", shown(p), c.name)
-            taken.add(c.name.lower())
+            taken.add(name.lower())
             target = (*p, f".{c.name}") if c.type == "ref" else None
-            fields.append(Field(c.name, keys[target][0] if target else c.type, c.nullable, "member", c.name, target))
+            fields.append(Field(name, keys[target][0] if target else c.type, c.nullable, "member", c.name, target))
         tables[p] = TableLayout(p, names[p], tuple(fields), keys[p][1])
     layout = Layout(tables, inference)
     validated(layout)
@@ -126,16 +129,16 @@ def laid_out(inference: Inference) -> Layout:
 
 
 def validated(layout: Layout) -> None:
-    """Parents and targets exist, and every table is reached from the root."""
+    """Parents and targets exist, every table is reached from the root, and none refers to a table that holds it."""
     for t in layout.tables.values():
-        for f in t.fields:
-            assert f.refers is None or f.refers in layout.tables, (t.name, f.name)
-        at = t.path
+        above, at = [], t.path
         while at:
             at = owner(at)
-            assert at in layout.tables, t.name
-    assert all(kind(p) != "root" or p == () for p in layout.tables)
-
-
-def source_member(path: Path) -> str:
-    return holder(path)
+            above.append(at)
+            if at not in layout.tables:
+                raise Refused("invalidSchema", shown(t.path), "a table without its parent")
+        for f in t.fields:
+            if f.refers is not None and f.refers not in layout.tables:
+                raise Refused("invalidSchema", f"{t.name}.{f.name}", "a reference to no table")
+            if f.role == "member" and f.refers in above:
+                raise Refused("invalidSchema", f"{t.name}.{f.name}", "contained by and referring to one table")

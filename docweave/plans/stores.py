@@ -14,8 +14,6 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import checked
-
 
 @dataclass(frozen=True)
 class Levels:
@@ -30,9 +28,10 @@ class Levels:
     root_id: str = "id"
     key: str = "bigint"  # type of the root's id
 
-    def record(self) -> str:
-        """The nested type of a document, of what the workload reads."""
-        leaf = f"struct<{self.group}:string,{self.measure}:bigint,{self.rate}:double>"
+    def record(self, *leaf: str) -> str:
+        """The nested type of a document, of what the workload reads, or of these members of its leaves."""
+        types = {self.group: "string", self.measure: "bigint", self.rate: "double"}
+        leaf = "struct<" + ",".join(f"{n}:{types[n]}" for n in leaf or types) + ">"
         c1, c2, c3 = self.members
         return f"struct<{self.root_id}:{self.key},{self.org}:string,{c1}:array<struct<{c2}:array<struct<{c3}:array<{leaf}>>>>>>"
 
@@ -88,11 +87,34 @@ class Nested:
         return total(self.leaves(self.records.where(F.col(f"d.{self.levels.org}") == org)), self.levels)
 
 
-class Raw(Nested):
-    """Documents as text, parsed again by every query."""
+class Raw:
+    """Documents as text, parsed again by every query, which reads only the members it asks for.
+
+    A text that is not JSON, or has other types, fails the query. What follows a value, and repeated
+    members, are for inference to refuse.
+    """
 
     def __init__(self, texts: DataFrame, levels: Levels, column: str = "value") -> None:
-        super().__init__(texts.select(F.variant_get(checked(F.col(column)), "$", levels.record()).alias("d")), levels)
+        self.texts, self.levels, self.column = texts, levels, column
+
+    def nested(self, *leaf: str) -> Nested:
+        record = F.from_json(self.column, self.levels.record(*leaf), {"mode": "FAILFAST"})
+        return Nested(self.texts.select(record.alias("d")), self.levels)
+
+    def document(self, id_: object) -> DataFrame:
+        return self.nested(self.levels.measure).document(id_)
+
+    def scan(self, over: int) -> DataFrame:
+        return self.nested(self.levels.measure).scan(over)
+
+    def computed(self, over: int) -> DataFrame:
+        return self.nested(self.levels.measure, self.levels.rate).computed(over)
+
+    def by_name(self) -> DataFrame:
+        return self.nested(self.levels.group, self.levels.measure).by_name()
+
+    def three_hop(self, org: str) -> DataFrame:
+        return self.nested(self.levels.measure).three_hop(org)
 
 
 class Flat:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,27 +12,34 @@ from pyspark.sql import functions as F
 from . import corpora
 from .functions.select import select
 from .operators.contract import enforced, orphans
+from .operators.handles import handles
 from .operators.reassemble import nested
 from .operators.shred import shredded
 from .plans.infer import Inference, infer
 from .plans.layout import Layout, laid_out
-from .plans.reconcile import from_flat
+from .plans.reconcile import from_flat, from_nested
+from .plans.report import middle_id
 from .plans.stores import Flat, Nested, Raw, sweep
-from .sources.corpus import from_rows
+from .sources.corpus import from_rows, refusals
 from .streaming.incremental import Incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 OVER, ORG, ID, UNKNOWN = 3_000_000, "BUILDING", 7, -1
 SWEEP = [0, 100_000, 500_000, 1_000_000, 3_000_000, 5_000_000, 9_000_000]
-#: Schemas by session, input and corpus: what was inferred once need not be again.
-INFERRED: dict[tuple, Inference] = {}
-
 
 def inference(spark: SparkSession, folder: str, name: str) -> Inference:
-    at = (spark.sparkContext.applicationId, folder, name)
-    if at not in INFERRED:
-        INFERRED[at] = infer(from_rows(getattr(corpora, name)(spark, folder)), getattr(corpora, f"{name.upper()}_CONFIG"))
-    return INFERRED[at]
+    """The schema of a corpus, from all of its documents."""
+    return infer(from_rows(getattr(corpora, name)(spark, folder)), getattr(corpora, f"{name.upper()}_CONFIG"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="docweave-")
+    return f"{at.rstrip('/')}/docweave-{uuid.uuid4().hex}"
 
 
 def tables(spark: SparkSession, folder: str, name: str) -> tuple[dict[str, DataFrame], Layout]:
@@ -115,10 +124,39 @@ def nullability_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 def infer_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Three parts of the corpus observed in turn, the last first."""
-    corpus, growing = from_rows(corpora.events(spark, folder)), Incremental(corpora.EVENTS_CONFIG)
-    for part in (2, 0, 1):
-        growing.add(corpus.where(F.pmod("doc_ord", F.lit(3)) == part))
-    return growing.inference().columns_frame(spark)
+    corpus, store = from_rows(corpora.events(spark, folder)), scratch(spark)
+    for part in (2, 0, 1, 2):  # by another process each; the last batch is delivered twice
+        Incremental(spark, store, corpora.EVENTS_CONFIG).add(corpus.where(F.pmod("doc_ord", F.lit(3)) == part), part)
+    return Incremental(spark, store, corpora.EVENTS_CONFIG).inference().columns_frame(spark)
+
+
+def refused_by_code(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that are no documents, each with what is wrong and where."""
+    return refusals(corpora.broken(spark, folder))
+
+
+def fk_orphans_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans where every tenth order is gone."""
+    t, layout = tables(spark, folder, "customers")
+    return orphans(t | {"orders": t["orders"].where("id % 10 <> 0")}, layout)
+
+
+def handle_get(spark: SparkSession, folder: str) -> DataFrame:
+    return handles(*tables(spark, folder, "customers"))["orders"].get(ID).select("id", "customer_id", "status", "cents")
+
+
+def handle_of_parent(spark: SparkSession, folder: str) -> DataFrame:
+    return handles(*tables(spark, folder, "customers"))["orders"].of_parent(ID).select("id", "idx", "cents")
+
+
+def shred_names_alike(spark: SparkSession, folder: str) -> DataFrame:
+    """Members whose names differ in case only, as columns of their own."""
+    return tables(spark, folder, "alike")[0]["nation"].select("id", "name", F.col("f___4eame").alias("other"), F.col("f___4e_41_4d_45").alias("third"))
+
+
+def middle_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The order in the middle by id."""
+    return spark.createDataFrame([(middle_id(tables(spark, folder, "customers")[0]["orders"]),)], "id long")
 
 
 def by_name_nonpositive(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,8 +185,9 @@ def select_(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f"infer_columns_{n}": columns(n) for n in ("customers", "events", "labelled", "lone", "vectors")}
-    for f in (shred_orders, shred_items, shred_turns, shred_props_map, shred_label_reference, shred_items_collapsed, shred_values, reassemble_totals, fk_orphans, childless_parents, nullability_identity, infer_incremental, by_name_nonpositive):
+    out: dict[str, Query] = {f"infer_columns_{n}": columns(n) for n in ("customers", "events", "labelled", "lone", "vectors", "alike", "marks")}
+    for f in (shred_orders, shred_items, shred_turns, shred_props_map, shred_label_reference, shred_items_collapsed, shred_values, reassemble_totals, fk_orphans, childless_parents, nullability_identity, infer_incremental, by_name_nonpositive,
+              refused_by_code, fk_orphans_found, handle_get, handle_of_parent, shred_names_alike, middle_order):
         out[f.__name__] = f
     for name, store in (("raw", raw), ("nested", records), ("flat", flat)):
         out |= {
@@ -164,5 +203,6 @@ def queries() -> dict[str, Query]:
         "document_unknown": lambda s, d: flat(s, d).document(UNKNOWN),
         "sweep": lambda s, d: sweep(flat(s, d).leaf, corpora.CUSTOMERS, SWEEP),
         "reconcile": lambda s, d: from_flat(flat(s, d)),
+        "reconcile_nested": lambda s, d: from_nested(records(s, d)),
     }
     return out | {f"select_where_{n}": select_(n) for n in SELECTS}
