@@ -2,10 +2,10 @@
 
 Every node of a page's tree gets the density of its characters per tag, less
 what stands in links, and the sum of its children's densities. The node of the
-largest sum holds the article. An <article> or <main> around it is taken as it
-is. Otherwise the length of its paragraphs sets a threshold of characters a tag
-outside links: parts of the node, and subtrees beside its path to the body, that
-fall below are left out, as are lists of links. Nodes that are never content
+largest sum holds the article; an <article> or <main> around it bounds it. The
+length of its paragraphs sets a threshold of characters a tag outside links:
+parts of the node, and subtrees beside its path to the body, that fall below are
+left out, as are lists of links. Nodes that are never content
 (scripts, menus, forms, adverts, comments of readers ...) are left out first.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,88 +131,97 @@ def settled(nodes: list[Node]) -> None:
         n.off = not (most or id(n) in inside and not n.readers) if within is None and not free else within is None or not most
 
 
+class Builder:
+    """Where the next node goes, and how many elements of each name are open there, so that nothing is looked for in vain."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("html", None, False, False)
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.here = node
+        self.open[node.tag] += 1
+
+    def up_to(self, node: Node) -> None:
+        """Closes what is open within ``node``."""
+        while self.here is not node:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def nearest(self, tags: frozenset, stop: frozenset) -> Node | None:
+        """The nearest open element of these names, if none of ``stop`` is nearer."""
+        if not any(self.open[t] for t in tags):
+            return None
+        node = self.here
+        while node.parent is not None and node.tag not in tags:
+            if node.tag in stop:
+                return None
+            node = node.parent
+        return node if node.tag in tags and node.parent is not None else None
+
+    def ended(self, tag: str) -> None:
+        """An end tag; one of inline markup does not reach beyond the block it is in."""
+        node = self.nearest(frozenset((tag,)), frozenset() if tag in BLOCKS or tag in DROPPED else BLOCKS)
+        if node is not None:
+            self.up_to(node.parent)
+        elif tag == "br":
+            self.here.items.append(Node("br", self.here, False, False))
+
+    def started(self, tag: str) -> None:
+        """Ends what a start tag ends."""
+        if tag in ENDS_P and (p := self.nearest(ONLY_P, P_HOLDERS)) is not None:
+            self.up_to(p.parent)
+        if tag in SIBLINGS:
+            ends, within = SIBLINGS[tag]
+            # the farthest of those that are open inside what holds them
+            while (node := self.nearest(ends, within)) is not None:
+                self.up_to(node.parent)
+        if tag == "a" and (a := self.nearest(ONLY_A, BLOCKS)) is not None:
+            self.up_to(a.parent)
+
+
+ONLY_P, ONLY_A = frozenset(("p",)), frozenset(("a",))
+P_HOLDERS = frozenset("table td th button caption".split())
+
+
 def tree(page: str) -> Node:
-    root = here = Node("html", None, False, False)
+    """The page's tree, in time in proportion to the page, however deep it nests."""
+    b = Builder()
+    root = b.root
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            here.items.append(page[at:])
+            b.here.items.append(page[at:])
             break
         if m.start() > at:
-            here.items.append(page[at:m.start()])
+            b.here.items.append(page[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue  # a comment or declaration
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is None or node is root:
-                if tag == "br":
-                    here.items.append(Node("br", here, False, False))
-                continue
-            # an end tag of inline markup does not reach beyond the block it is in
-            if tag not in BLOCKS and tag not in DROPPED and any_block(here, node):
-                continue
-            here = node.parent
+            b.ended(tag)
             continue
-        if tag in ("html", "body") and (here is root or tag == "html"):
-            if tag == "body" and root.tag != "body":
+        if tag in ("html", "body"):
+            if tag == "body" and b.here is root:
                 new = Node("body", root, False, False)
                 root.items.append(new)
-                here = new
-            continue
-        if tag == "body":
+                b.push(new)
             continue
-        here = closed(here, tag)
-        node = judged(tag, m[3], Node(tag, here, here.off, here.link or tag == "a"))
-        here.items.append(node)
+        b.started(tag)
+        node = judged(tag, m[3], Node(tag, b.here, b.here.off, b.here.link or tag == "a"))
+        b.here.items.append(node)
         if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        here = node
+        b.push(node)
     return root
 
 
-def any_block(here: Node, node: Node) -> bool:
-    while here is not node:
-        if here.tag in BLOCKS:
-            return True
-        here = here.parent
-    return False
-
-
-def closed(here: Node, tag: str) -> Node:
-    """Where a start tag belongs, once it has ended what it must."""
-    if tag in ENDS_P:
-        node = here
-        while node is not None and node.tag not in ("table", "td", "th", "button", "caption") and node.tag != "p":
-            node = node.parent
-        if node is not None and node.tag == "p":
-            here = node.parent
-    if tag in SIBLINGS:
-        ends, within = SIBLINGS[tag]
-        node, found = here, None
-        while node is not None and node.tag not in within:
-            if node.tag in ends:
-                found = node
-            node = node.parent
-        if found is not None:
-            here = found.parent
-    if tag == "a":
-        node = here
-        while node is not None and node.tag not in BLOCKS and node.tag != "a":
-            node = node.parent
-        if node is not None and node.tag == "a":
-            here = node.parent
-    return here
-
-
 def in_order(root: Node) -> list[Node]:
     """All nodes, parents first."""
     out, stack = [], [root]
@@ -297,10 +307,11 @@ def content(root: Node) -> Node | None:
         return None
     best = max(seen, key=lambda n: n.total)
     node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return node
+    while node is not None and node.tag not in ("article", "main"):
         node = node.parent
+    if node is not None:  # the element bounds the article, density says what in it is of it
+        cut(node, paragraph(node) / 3)
+        return node
     # a block or more: the sum of a paragraph's inline tags says nothing of the page
     while best.parent is not None and best.tag not in HOLDERS:
         best = best.parent
@@ -397,9 +408,12 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
-    Null and empty pages give empty text; unclosed and stray tags are closed or
-    ignored as browsers do; null ids and urls are kept; repeated rows give
-    repeated results; other columns are ignored.
+    Null and empty pages give empty text; pages of any length and depth are read
+    whole, in time in proportion to their length; unclosed and stray tags are closed or
+    ignored as browsers do. Of nodes of equal density sums (a tie) the first
+    counts. Null ids and urls are kept; repeated rows give
+    repeated results; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
