@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import column, small, text_of
 from .shingles import mixed, prefix_hashes, substring_hashes
 
 BUCKETS = 1 << 18
@@ -29,6 +29,8 @@ AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3)
 #: Sampled texts a language, about.
 SAMPLE = 400
+#: Longer texts are labelled, but not learned from.
+SAMPLE_CHARS = 50_000
 #: Places of a training chain, and words of a run of one language on average.
 CHAIN, RUN = 60, 20
 EPOCHS = 3
@@ -261,15 +263,18 @@ def trained(texts: list[bytes], labels: list[str], seed: int = 3, epochs: int =
     return model
 
 
-def fitted(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from the usable rows with a language: all of a language's, or a share of about ``sample`` by a hash of doc_id."""
-    rows = docs.where(usable & F.col(lang).isNotNull())
-    sizes = rows.groupBy(lang).count().withColumnRenamed(lang, "_lang")
+def fitted(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from usable documents of at most ``sample_chars`` characters that have an id and a language: all of a language's, or a share of about ``sample`` by a hash of doc_id.
+
+    Of texts that repeat a doc_id and language the first in order counts. The
+    model has a weight a feature for each language.
+    """
+    rows = docs.select(F.col("doc_id").alias("id"), column(lang).alias("lang"), text_of(text).alias("text"), usable.alias("usable")).where("usable and id is not null and lang is not null")
     # as many rows as languages; each row says which share of its language is taken
-    share = F.broadcast(sizes.select("_lang", F.least(F.lit(1.0), sample / F.col("count")).alias("_share")))
-    point = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(share, F.col(lang) == F.col("_lang")).where(point < F.col("_share")).select("doc_id", F.col(lang).alias("lang"), text_of(text).alias("text")).collect()
-    picked = sorted(picked, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
+    point = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(small(share), F.col("lang") == F.col("of")).where((point < F.col("share")) & (F.length("text") <= sample_chars)).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
+    picked = sorted(picked, key=lambda r: (r["id"], r["lang"]))
     return trained([r["text"].encode() for r in picked], [r["lang"] for r in picked])
 
 
@@ -293,8 +298,10 @@ def languages(docs: DataFrame, text: str = "text", sample: int = SAMPLE, folds:
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 1 are held out. Null texts
     and texts without a letter are ``und`` with score 0, as is everything when no
-    row can be learned from. A null doc_id is not held out; repeated rows are
-    labelled alike; extra columns are ignored.
+    row can be learned from. Texts of any length are read whole; of languages that
+    are expected equally often (a tie) the first by name is given. A null doc_id
+    is not held out, and nothing is learned from it; repeated rows are labelled
+    alike; an empty table gives no rows; extra columns are ignored, whatever their names.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     model = fitted(docs, F.coalesce(fold != 1, F.lit(True)), text, sample=sample)

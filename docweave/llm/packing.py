@@ -28,8 +28,8 @@ from .common import stored
 
 LENGTH = 2048
 WINDOW_SEQUENCES = 32
-#: Queues at most; more sources than that share queues by hash.
-QUEUES = 4096
+#: Sources at most, as each task holds a number for each; more are refused.
+SOURCES = 1 << 16
 #: Words that a Python worker remembers the ids of.
 REMEMBERED = 1 << 19
 #: ASCII marks that end words; one run of them is one pre-token.
@@ -139,7 +139,7 @@ class Layout:
             size = 1 << ((self.all - at).bit_length() - 1)
             self.tail.append((at, size))
             at += size
-        self.served = lru_cache(maxsize=4096)(self._served)
+        self.served = lru_cache(maxsize=max(16, (1 << 22) // max(1, len(totals))))(self._served)
 
     def _served(self, w: int) -> np.ndarray:
         """Tokens that each queue has been served before window ``w``; they sum to the tokens of all windows before."""
@@ -190,26 +190,26 @@ class Layout:
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
-    Null text is empty and gives the end id alone; null sources share a queue;
-    repeated rows are packed each; an empty table gives no pieces. Other columns
-    are ignored.
+    Null text is empty and gives the end id alone; texts of any length are read
+    whole and cut where sequences end; null ids are ids like others; null sources
+    share a queue; repeated rows are packed each; queues whose tokens are due at
+    the same time (a tie) are served in the order of their names, null last. An
+    empty table gives no pieces; other columns are ignored, whatever their
+    names. More than SOURCES sources are refused with a ValueError.
     """
     rows = stored(tokenised(docs, tokenizer, end_id, text), "tokens")
     by_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    names = by_source.select("source").orderBy(F.col("source").asc_nulls_last()).limit(QUEUES + 1).collect()
-    if len(names) <= QUEUES:
-        spark = rows.sparkSession
-        queues = F.broadcast(spark.createDataFrame([(r["source"], i) for i, r in enumerate(names)], "_source string, queue int"))
-        rows = rows.join(queues, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("sub", F.lit(0))
-    else:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int")).withColumn("sub", F.xxhash64("source"))
+    totals = by_source.orderBy(F.col("source").asc_nulls_last()).limit(SOURCES + 1).collect()
+    if len(totals) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    queues = F.broadcast(rows.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(totals)], "_source string, queue int"))
+    rows = rows.join(queues, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # where each part's tokens of a source begin in the queue
-    parts = rows.groupBy("queue", "source", "part").agg(F.sum("n_tokens").alias("n"), F.first("sub").alias("sub"))
-    earlier = Window.partitionBy("queue").orderBy("part", "sub", "source").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("queue").alias("_q"), F.col("source").alias("_s"), F.col("part").alias("_p"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    totals = {r["_q"]: r["n"] for r in parts.groupBy("_q").agg(F.sum("n").alias("n")).collect()}  # at most QUEUES rows
-    layout_of = ([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)], length, window_sequences * length)
-    rows = rows.join(parts, (F.col("queue") == F.col("_q")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+    parts = rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("queue").alias("_q"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    layout_of = ([r["n"] for r in totals], length, window_sequences * length)
+    rows = rows.join(parts, (F.col("queue") == F.col("_q")) & (F.col("part") == F.col("_p")))
     rows = rows.select("doc_id", "source", "queue", (F.col("_before") + F.col("before")).alias("at"), "n_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

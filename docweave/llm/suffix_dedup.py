@@ -9,11 +9,15 @@ prefixes that end there, are mergesorted; two are compared by binary search over
 polynomial prefix hashes for their common extension, and the order is verified
 on the bytes. Neighbours' common extensions then say which strings are equal,
 and the smallest document of each class keeps them.
+
+Of copies of a text that is very common only the smallest is searched; the
+others lose all by it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, text_of
+from .exact_dedup import heavy_digests
 from .shingles import ODD, mixed, powers, prefix_hashes, substring_hashes
 
 LENGTH = 50
 K = 20
 #: Bits of the filter of shared anchors; more anchors than it can tell apart cost time, never results.
 FILTER_BITS = 1 << 27
+#: Parts of the filter at most.
+PARTS = 1 << 15
 #: Bytes of text whose anchors a bucket is meant to hold, and that a slice is meant to hold.
 BUCKET, SLICE = 4 << 20, 8 << 20
 
@@ -286,17 +293,24 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end), kept (the remaining bytes).
 
-    Null text is empty; a text shorter than ``length`` bytes loses nothing. Rows
-    that repeat a doc_id must repeat its text. Rows with a null doc_id are
-    neither searched nor shortened. An empty table gives no rows; other columns
-    are ignored.
+    Null text is empty; a text shorter than ``length`` bytes loses nothing; texts
+    of any length are read whole. Rows that repeat a doc_id are one document (a
+    tie: neither is smaller) and must repeat its text. Rows with a null doc_id
+    are neither searched nor shortened. An empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    heavy = copied(docs)
+    if heavy is not None:
+        docs = docs.withColumn("digest", F.sha2("text", 256)).join(F.broadcast(heavy), "digest", "left")
+        others = docs.where("doc_id > keep_id").select("doc_id", "text")
+        docs = docs.where("not coalesce(doc_id > keep_id, false)").select("doc_id", "text")
     searched = docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, slices = max(partitions(spark), size // BUCKET), max(partitions(spark), size // SLICE)
-    bits = max(64, FILTER_BITS // buckets // 64 * 64)
+    parts = min(buckets, PARTS)
+    bits = FILTER_BITS // parts // 64 * 64
     reach = length - K
     layout = record(length)
 
@@ -326,7 +340,9 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "segment": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     segments = searched.mapInArrow(hashes, "bucket long, payload binary").groupBy("bucket").applyInArrow(segment, "bucket long, segment binary")
-    filter_ = np.zeros((buckets, bits // 8), np.uint8)  # FILTER_BITS in all, whatever the input
+    if buckets > parts:  # several buckets share a part
+        segments = segments.select((F.col("bucket") % parts).alias("bucket"), "segment").groupBy("bucket").applyInArrow(either, "bucket long, segment binary")
+    filter_ = np.zeros((parts, bits // 8), np.uint8)  # FILTER_BITS in all, whatever the input
     for r in segments.toLocalIterator():
         filter_[r["bucket"]] = np.frombuffer(r["segment"], np.uint8)
     shared = spark.sparkContext.broadcast(filter_)
@@ -339,7 +355,7 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
             bucket = bucket_of(h, buckets)
             hit = np.ones(len(h), bool)
             for at in probes(h >> np.uint64(1), bits):
-                hit &= known[bucket, at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                hit &= known[bucket % parts, at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
             if not hit.any():
                 continue
             h, p, f, e, t, bucket = h[hit], p[hit], f[hit], e[hit], t[hit], bucket[hit]
@@ -362,6 +378,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     def slice_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy().astype(np.uint64)
+            if b.column(0).null_count:  # rows without an id are dealt by their texts
+                ids = np.array([zlib.crc32(t) if d is None else d for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.int64).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mixed(ids), slices)), b.column(0), b.column(1)], ["bucket", "doc_id", "text"])
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -383,9 +401,34 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RESULT, strict=True)], names=RESULT_NAMES)
 
     sliced = docs.mapInArrow(slice_of, "bucket long, doc_id long, text binary")
-    return sliced.groupBy("bucket").cogroup(stretches.groupBy("bucket")).applyInArrow(
+    shortened = sliced.groupBy("bucket").cogroup(stretches.groupBy("bucket")).applyInArrow(
         lambda key, left, right: cut(key, left, right) if left.num_rows else EMPTY,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    if heavy is None:
+        return shortened
+    n = F.octet_length("text").cast("long")
+    gone = F.when(n >= length, n).otherwise(0)
+    rest = F.when(n >= length, F.lit(b"")).otherwise(F.col("text"))
+    span = F.when(n >= length, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+    return shortened.unionByName(others.select("doc_id", n.alias("n_bytes"), gone.cast("long").alias("n_removed"), F.size(span).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), span.alias("spans"), rest.alias("kept")))
+
+
+def copied(docs: DataFrame) -> DataFrame | None:
+    """(digest, keep_id) of texts that many rows share, as ``exact_dedup`` finds them: no more than its counters, or None if there is none."""
+    digests = stored(docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    heavy = digests.join(F.broadcast(heavy_digests(digests)), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"))
+    heavy = stored(heavy.where("last > keep_id").select("digest", "keep_id"), "copied")
+    return heavy if heavy.limit(1).count() else None
+
+
+def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One segment of a bucket's several."""
+    bucket, out = None, None
+    for b in batches:
+        for key, segment in zip(b.column("bucket").to_pylist(), b.column("segment").to_pylist(), strict=True):
+            bits = np.frombuffer(segment, np.uint8)
+            bucket, out = key, bits.copy() if out is None else out | bits
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "segment": pa.array([out.tobytes()], pa.binary())})
 
 
 RESULT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]

@@ -181,6 +181,28 @@ def test_every_id_lies_in_one_piece(documents):
     assert packing.packed(documents([]), tokenizer_file()).count() == 0
 
 
+def test_windows_are_those_of_a_sequential_deficit_round_robin():
+    rng = random.Random(3)
+    for totals in ([5, 0, 700, 1234, 99], [1], [7, 7, 7], [rng.randint(0, 400) for _ in range(12)]):
+        layout = packing.Layout(totals, 16, 64)
+        served, quantum = [0] * len(totals), [t / sum(totals) for t in totals]
+        for n in range(layout.all):
+            if n % 64 == 0:
+                assert layout.served(n // 64).tolist() == served, (totals, n)
+            # the queue whose deficit after half of its next token is the largest for its quantum is served a token
+            short = [(served[q] + 0.5) / totals[q] if served[q] < t else float("inf") for q, t in enumerate(totals)]
+            served[short.index(min(short))] += 1
+            deficits = [(n + 1) * x - s for x, s in zip(quantum, served, strict=True)]
+            assert max(map(abs, deficits)) < len(totals)
+        assert served == totals
+
+
+def test_too_many_sources_are_refused(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SOURCES", 2)
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        packing.packed(documents([(i, "a", f"s{i}") for i in range(3)]), tokenizer_file())
+
+
 def test_windows_hold_their_shares():
     totals = [5, 0, 70_000, 123_456, 999]
     layout = packing.Layout(totals, 64, 640)
@@ -339,13 +361,16 @@ def plain_removed(rows, length):
     return out
 
 
-def test_repeated_strings(documents):
+@pytest.mark.parametrize("parts", [1 << 15, 3])
+def test_repeated_strings(documents, monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
     rng = random.Random(11)
     passages = [" ".join(rng.choice(["ab", "é", "cde", "f"]) for _ in range(60)) for _ in range(4)] + ["a" * 150]
     rows = [(1, None), (2, ""), (3, "short"), (4, "x" * 50), (5, "x" * 50), (6, "x" * 49)]
     for i in range(60):
         parts = [rng.choice(passages)[rng.randint(0, 40):][:rng.randint(30, 150)] if rng.random() < 0.5 else "".join(rng.choice("abc é") for _ in range(rng.randint(0, 80))) for _ in range(rng.randint(0, 5))]
         rows.append((10 + i, "".join(parts)))
+    rows += [(200 + i, passages[1]) for i in range(40)] + [(300 + i, "too short to lose") for i in range(20)]
     gone = plain_removed([(d, (t or "").encode()) for d, t in rows], 50)
     got = suffix_dedup.deduplicated(documents(rows).repartition(4)).collect()
     assert len(got) == len(rows) and sum(g.sum() for g in gone.values()) > 500
