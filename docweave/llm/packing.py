@@ -31,7 +31,9 @@ WINDOW_SEQUENCES = 32
 #: Sources at most, as each task holds a number for each; more are refused.
 SOURCES = 1 << 16
 #: Words that a Python worker remembers the ids of.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
+#: Words that are encoded at a time, so that the tokenizer's own records of them stay small.
+AT_ONCE = 1 << 13
 #: ASCII marks that end words; one run of them is one pre-token.
 MARKS = ".,!?;:%$&*#|"
 
@@ -53,7 +55,7 @@ class Encoder:
         self.cores: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for lo in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[lo:lo + AT_ONCE], add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of new words; of a word that ends in marks, those of the word without them."""
@@ -73,8 +75,9 @@ class Encoder:
 
     def learn_cores(self, cores: set[str]) -> None:
         """Words of ASCII letters are one pre-token each, so many are encoded at a time and told apart by their word ends."""
-        plain = [w for w in cores if w.isascii() and w.isalpha()]
-        if plain:
+        every = [w for w in cores if w.isascii() and w.isalpha()]
+        for lo in range(0, len(every), AT_ONCE):
+            plain = every[lo:lo + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(plain):
