@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, small, stored, text_of
+from .common import column, partitions, small, stored, text_of, unused
 from .components import components
 from .shingles import ODD, mixed, shingle_sets, sketches
 
@@ -475,6 +475,7 @@ def one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     repeat one stay together, if one of them is its component's smallest. Only the ids that go are
     joined back, by broadcast if they are few.
     """
-    found = near_components(docs, text, words, percent).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = stored(found.where("_gone is not null and not stays").select("_gone"), "gone")
-    return docs.join(small(gone), column("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = unused(docs, "_gone")
+    found = near_components(docs, text, words, percent).groupBy(F.col("doc_id").alias(gone_id)).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stored(found.where(F.col(gone_id).isNotNull() & ~F.col("stays")).select(gone_id), "gone")
+    return docs.join(small(gone), column("doc_id") == F.col(gone_id), "left_anti")
