@@ -30,7 +30,7 @@ LENGTH = 2048
 WINDOW_SEQUENCES = 32
 #: Sources at most, as each task holds a number for each; more are refused.
 SOURCES = 1 << 16
-#: Words that a Python worker remembers the ids of.
+#: Words that a Python worker remembers the ids of, before those that it has not met again go: twice as many at most.
 REMEMBERED = 1 << 17
 #: Words that are encoded at a time, so that the tokenizer's own records of them stay small.
 AT_ONCE = 1 << 13
@@ -52,30 +52,31 @@ class Encoder:
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for lo in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[lo:lo + AT_ONCE], add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.words, self.before = {}, {}
+
     def learn(self, words: set[str]) -> None:
         """Remember the ids of new words; of a word that ends in marks, those of the word without them."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
         split = []
         for w in words:
             core = w.rstrip(MARKS)
             # a last letter beyond Latin-1 may turn into a letter and a mark in lower case
             split.append((w, core, w[len(core):]) if core and len(core) < len(w) and core[-1] < "\u0100" and core.isalpha() else (w, w, ""))
-        self.learn_cores({x for _, core, marks in split for x in (core, marks) if x and x not in self.cores})
-        cores = self.cores
+        known, before = self.words, self.before
+        cores = self.encoded({x for _, core, marks in split for x in (core, marks) if x and x not in known and x not in before})
+        ids = lambda x: cores.get(x) or known.get(x) or before.get(x)
         for w, core, marks in split:
-            self.words[w] = cores[core] + cores[marks] if marks else cores[core]
+            known[w] = ids(core) + ids(marks) if marks else ids(core)
 
-    def learn_cores(self, cores: set[str]) -> None:
+    def encoded(self, words: set[str]) -> dict[str, bytes]:
         """Words of ASCII letters are one pre-token each, so many are encoded at a time and told apart by their word ends."""
-        every = [w for w in cores if w.isascii() and w.isalpha()]
+        out: dict[str, bytes] = {}
+        every = [w for w in words if w.isascii() and w.isalpha()]
         for lo in range(0, len(every), AT_ONCE):
             plain = every[lo:lo + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
@@ -84,21 +85,24 @@ class Encoder:
                 flat, width = ids.astype(self.dtype).tobytes(), self.dtype(0).itemsize
                 at = (at * width).tolist()
                 for w, start, end in zip(plain, [0, *at], at, strict=False):
-                    self.cores[w] = flat[start:end]
-        rest = [w for w in cores if w not in self.cores]
-        self.cores.update(zip(rest, self.whole(rest), strict=True))
+                    out[w] = flat[start:end]
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self.whole(rest), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
         # these are white space to Python and not to the tokenizer
         split = [None if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
-        found = self.words
-        new = {w for s in split if s for w in s}.difference(found)
-        if new:
+        words = {w for s in split if s for w in s}
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:  # what is not met again before the next time is forgotten then
+            self.before, self.words, new = self.words, {}, words
+        again = new.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in again)
+        if new := new - again:
             self.learn(new)
-            lost = {w for s in split if s for w in s}.difference(found)
-            if lost:  # forgotten meanwhile
-                self.learn(lost)
+        found = self.words
         return [b"".join([found[w] for w in s]) if s is not None else self.whole([t])[0] for t, s in zip(texts, split, strict=True)]
 
 
@@ -124,6 +128,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "tex
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * len(ids), pa.int32()), "source": rows.column(1), "doc_id": rows.column(0), "before": pa.array(starts, pa.int64()),
                     "n_tokens": pa.array([len(x) // len(end) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+        encode.forget()  # the worker lives on
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(tokens, "part int, source string, doc_id long, before long, n_tokens long, ids binary")
