@@ -51,7 +51,8 @@ PLAIN = frozenset("div section center".split())
 #: A paragraph beside the article is text from this many characters on, or if it ends as a sentence does.
 LINE = 80
 SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)]*$")
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote counts after = only.
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 

@@ -555,6 +555,29 @@ def test_names_do_not_lose_the_article(page):
     assert html_extract.main_text(f"<body>{page}</body>") == " ".join(PARAGRAPHS)
 
 
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4_000, 40_000):
+        began = time.process_time()
+        assert html_extract.main_text("<b>" + "<div>" * n + "<p>deep text" + "</b><li>" * n) .startswith("deep text")
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_density_cuts_within_an_article_too():
+    links = "<div>" + "".join(f'<a href="/{i}">see also number {i}</a> ' for i in range(9)) + "</div>"
+    assert html_extract.main_text(f"<body><article><h1>Bridge</h1>{PS}{links}</article></body>") == " ".join(["Bridge", *PARAGRAPHS])
+    assert html_extract.main_text(f"<body>{links * 30}<article>{PS}</article></body>") == " ".join(PARAGRAPHS)
+    assert html_extract.main_text(f"<body><div class=top>{links * 30}</div><div>{PS}</div></body>") == " ".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize(("page", "text"), [('<p title="the hidden valley">Text</p>', "Text"), ("<p title=it's>Hello</p><p>more</p>", "Hello more"), ('<div class="notice-board"><p>' + PARAGRAPHS[0] + "</p></div>", PARAGRAPHS[0])])
+def test_values_and_quotes_in_tags(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_attributes_are_read_by_name():
     page = '<article><p>See the <a href="/hidden-falls">falls</a> and <a href="/x?id=nav">maps</a> and <a href=/y?class=menu>walks</a>.</p></article>'
     assert html_extract.main_text(page) == "See the falls and maps and walks."
