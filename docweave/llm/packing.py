@@ -31,9 +31,7 @@ WINDOW_SEQUENCES = 32
 #: Sources at most, as each task holds a number for each; more are refused.
 SOURCES = 1 << 16
 #: Words that a Python worker remembers the ids of, before those that it has not met again go: twice as many at most.
-REMEMBERED = 1 << 17
-#: Words that are encoded at a time, so that the tokenizer's own records of them stay small.
-AT_ONCE = 1 << 13
+REMEMBERED = 1 << 18
 #: ASCII marks that end words; one run of them is one pre-token.
 MARKS = ".,!?;:%$&*#|"
 
@@ -55,30 +53,32 @@ class Encoder:
         self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for lo in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[lo:lo + AT_ONCE], add_special_tokens=False)]
-
-    def forget(self) -> None:
-        self.words, self.before = {}, {}
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of new words; of a word that ends in marks, those of the word without them."""
-        split = []
+        split, parts = [], set()
         for w in words:
             core = w.rstrip(MARKS)
             # a last letter beyond Latin-1 may turn into a letter and a mark in lower case
-            split.append((w, core, w[len(core):]) if core and len(core) < len(w) and core[-1] < "\u0100" and core.isalpha() else (w, w, ""))
+            if core and len(core) < len(w) and core[-1] < "\u0100" and core.isalpha():
+                split.append((w, core, w[len(core):]))
+                parts.update(split[-1][1:])
+            else:
+                parts.add(w)
         known, before = self.words, self.before
-        cores = self.encoded({x for _, core, marks in split for x in (core, marks) if x and x not in known and x not in before})
-        ids = lambda x: cores.get(x) or known.get(x) or before.get(x)
+        parts.difference_update(known)
+        again = parts.intersection(before)
+        known.update((w, before[w]) for w in again)
+        known.update(self.encoded(parts - again))
         for w, core, marks in split:
-            known[w] = ids(core) + ids(marks) if marks else ids(core)
+            known[w] = known[core] + known[marks]
 
     def encoded(self, words: set[str]) -> dict[str, bytes]:
         """Words of ASCII letters are one pre-token each, so many are encoded at a time and told apart by their word ends."""
         out: dict[str, bytes] = {}
-        every = [w for w in words if w.isascii() and w.isalpha()]
-        for lo in range(0, len(every), AT_ONCE):
-            plain = every[lo:lo + AT_ONCE]
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(plain):
@@ -128,7 +128,6 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "tex
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * len(ids), pa.int32()), "source": rows.column(1), "doc_id": rows.column(0), "before": pa.array(starts, pa.int64()),
                     "n_tokens": pa.array([len(x) // len(end) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
-        encode.forget()  # the worker lives on
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(tokens, "part int, source string, doc_id long, before long, n_tokens long, ids binary")
