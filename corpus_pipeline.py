@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.packed(docs, tokenizer_file()).drop("ids")
+    return packing.packed(docs, tokenizer_file(), with_ids=False)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram join", near), ("mixing", mix), ("packing", pack)]

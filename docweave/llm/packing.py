@@ -194,8 +194,8 @@ class Layout:
         raise IndexError(g)
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and, if ``with_ids``, ids.
 
     Null text is empty and gives the end id alone; texts of any length are read
     whole and cut where sequences end; null ids are ids like others; null sources
@@ -219,19 +219,21 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text",
     rows = rows.join(parts, (F.col("queue") == F.col("_q")) & (F.col("part") == F.col("_p")))
     rows = rows.select("doc_id", "source", "queue", (F.col("_before") + F.col("before")).alias("at"), "n_tokens", "ids")
 
+    n_columns = len(PIECE_NAMES) - (not with_ids)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(*layout_of)
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             out: list[tuple] = []
             for doc, source, queue, at, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 whole = np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4")
                 for seq, offset, start, take in layout.pieces(queue, at, n):
                     piece = whole[start:start + take].tobytes()
-                    out.append((doc, start, take, zlib.crc32(piece), n, seq, offset, source, piece))
+                    out.append((doc, start, take, zlib.crc32(piece), n, seq, offset, source, *((piece,) if with_ids else ())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], names=PIECE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE_TYPES[:n_columns], strict=True)], names=PIECE_NAMES[:n_columns])
 
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + (", ids binary" if with_ids else ""))
 
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]

@@ -34,7 +34,7 @@ def tokenizer_file() -> str:
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(read(spark, folder, "documents"), tokenizer_file()).drop("ids", "source")
+    return packing.packed(read(spark, folder, "documents"), tokenizer_file(), with_ids=False).drop("source")
 
 
 def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
