@@ -39,7 +39,7 @@ PARTS = 1 << 15
 BUCKET, SLICE = 4 << 20, 8 << 20
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], upto: int = 4 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def in_slices(batches: Iterator[pa.RecordBatch], upto: int = 2 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(ids, texts) of about ``upto`` bytes; a longer text comes alone."""
     for b in batches:
         ids, texts, lo, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), 0, 0
