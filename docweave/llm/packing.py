@@ -57,27 +57,33 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of new words; of a word that ends in marks, those of the word without them."""
-        split, parts = [], set()
-        for w in words:
+        split, parts = [], {w for w in words if w[-1] not in MARKS}
+        for w in words - parts:
             core = w.rstrip(MARKS)
             # a last letter beyond Latin-1 may turn into a letter and a mark in lower case
-            if core and len(core) < len(w) and core[-1] < "\u0100" and core.isalpha():
+            if core and core[-1] < "\u0100" and core.isalpha():
                 split.append((w, core, w[len(core):]))
-                parts.update(split[-1][1:])
+                parts.add(core)
+                parts.add(split[-1][2])
             else:
                 parts.add(w)
+        # looked up word by word: set operations on a dict may walk through all of it
         known, before = self.words, self.before
-        parts.difference_update(known)
-        again = parts.intersection(before)
-        known.update((w, before[w]) for w in again)
-        known.update(self.encoded(parts - again))
+        new = []
+        for w in parts:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new.append(w)
+        self.remember(new)
         for w, core, marks in split:
             known[w] = known[core] + known[marks]
 
-    def encoded(self, words: set[str]) -> dict[str, bytes]:
-        """Words of ASCII letters are one pre-token each, so many are encoded at a time and told apart by their word ends."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if w.isascii() and w.isalpha()]
+    def remember(self, words: list[str]) -> None:
+        """Words of Latin-1 letters are one pre-token each, so many are encoded at a time and told apart by their word ends."""
+        known = self.words
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
             at = np.flatnonzero(self.ends[ids]) + 1
@@ -85,25 +91,29 @@ class Encoder:
                 flat, width = ids.astype(self.dtype).tobytes(), self.dtype(0).itemsize
                 at = (at * width).tolist()
                 for w, start, end in zip(plain, [0, *at], at, strict=False):
-                    out[w] = flat[start:end]
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.whole(rest), strict=True))
-        return out
+                    known[w] = flat[start:end]
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
         # these are white space to Python and not to the tokenizer
         split = [None if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
-        words = {w for s in split if s for w in s}
-        new = words.difference(self.words)
+        words = set().union(*(s for s in split if s))
+        new = {w for w in words if w not in self.words}
         if len(self.words) + len(new) > REMEMBERED:  # what is not met again before the next time is forgotten then
             self.before, self.words, new = self.words, {}, words
-        again = new.intersection(self.before)
-        self.words.update((w, self.before[w]) for w in again)
-        if new := new - again:
-            self.learn(new)
-        found = self.words
-        return [b"".join([found[w] for w in s]) if s is not None else self.whole([t])[0] for t, s in zip(texts, split, strict=True)]
+        known, before = self.words, self.before
+        unmet = set()
+        for w in new:
+            if w in before:
+                known[w] = before[w]
+            else:
+                unmet.add(w)
+        if unmet:
+            self.learn(unmet)
+        ids = known.__getitem__
+        return [b"".join(map(ids, s)) if s is not None else self.whole([t])[0] for t, s in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=1)

@@ -181,6 +181,16 @@ def test_every_id_lies_in_one_piece(documents):
     assert packing.packed(documents([]), tokenizer_file()).count() == 0
 
 
+def test_ids_outlive_forgotten_words(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    encoder = packing.Encoder(tokenizer_file())
+    rng = random.Random(11)
+    forms = ["Straße", "ªº", "µm", "ÿ.", "ŸÉ!", "l'été", "ŉ", "é\u0301.", "ǰ,", "Σ.", "naïf&&&", "***", "a|b|", "x<|endoftext|>", "12.5%", "Ünïcödé,"]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(forms, k=rng.randint(0, 9))) for _ in range(4)]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_windows_are_those_of_a_sequential_deficit_round_robin():
     rng = random.Random(3)
     for totals in ([5, 0, 700, 1234, 99], [1], [7, 7, 7], [rng.randint(0, 400) for _ in range(12)]):
